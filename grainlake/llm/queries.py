@@ -6,10 +6,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, word_count
+from .common import new_path, table, word_count
+from .fingerprint import compare_versions
 from .mixing import mix
 from .packing import concatenate_and_cut
+from .secrets import scan_versions
 from .tokencount import count_tokens
+from .warc import round_trip
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+
+
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (
+  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
+         max(page_id) OVER (PARTITION BY payload) AS rep
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> rep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> rep THEN rep END AS refers_to
+FROM d
+"""
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_versions(table(spark, sf_dir, "documents")).withColumnRenamed("edited", "edited_sha256")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +42,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_versions(table(spark, sf_dir, "documents"), new_path(spark, "ledger"), "doc_id")
+    shown = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("path").alias("doc_id"), *map(count, ("assign", "access", "hex")), F.sha2(shown, 256).alias("base_sha256"), shown.alias("spans"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), word_count(F.col("text")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
@@ -60,6 +92,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op7_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_token_counts, op4_secret_scan, op7_mixing, op10_packing)}
 
-ORACLE_SQL = {"op7_mixing": OP7_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op7_mixing": OP7_SQL}

@@ -1,0 +1,48 @@
+import hashlib
+import re
+
+from grainlake.llm import queries, secrets
+from grainlake.llm.common import new_path
+from odd import ROWS, empty, odd
+
+PATTERNS = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
+
+
+def brute(text):
+    found = []
+    for rank, (kind, pattern, group, least) in enumerate(PATTERNS):
+        found += [(m.start(), rank, kind, m.end()) for m in pattern.finditer(text or "") if len(m[group]) >= least]
+    return sorted(found)
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op4_secret_scan(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        want = brute(r.text)
+        text = ",".join(f"{k}:{a}:{b}" for a, _, k, b in want)
+        g = got[r.doc_id]
+        assert g.spans == text and g.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert (g.n_assign, g.n_access, g.n_hex) == tuple(sum(w[2] == k for w in want) for k in ("assign", "access", "hex"))
+    assert any(g.spans for g in got.values())
+
+
+def test_odd_rows_and_a_second_run(spark):
+    ledger = new_path(spark, "ledger")
+    want = sorted((str(r[0]), str(brute(r[1]))) for r in ROWS)
+    for _ in range(2):
+        got = secrets.scan_versions(odd(spark), ledger, "doc_id").collect()
+        assert sorted((str(r.path), str([tuple(s) for s in r.spans])) for r in got) == want
+    texts = {r[1] or "" for r in ROWS}
+    assert spark.read.parquet(f"{ledger}/seen").count() == 3 * len(texts)  # nothing was scanned twice
+    more = spark.createDataFrame([("p", "secret=abcdef1"), ("q", ROWS[0][1]), ("r", "secret=token: abcdefgh secret=ab'token=abcdef")], "path string, text string")
+    got = {r.path: [tuple(s) for s in r.spans] for r in secrets.scan_versions(more, ledger, "path").collect()}
+    assert got == {r.path: brute(r.text) for r in more.collect()}
+    assert spark.read.parquet(f"{ledger}/seen").count() == 3 * len(texts) + 6
+    newer = (secrets.Rule("assign", secrets.RULES[0].pattern, 2, 99, version=2), *secrets.RULES[1:])
+    got = {r.path: list(r.spans) for r in secrets.scan_versions(more, ledger, "path", rules=newer).collect()}
+    assert not any(got.values())
+    assert spark.read.parquet(f"{ledger}/seen").count() == 3 * len(texts) + 9  # only the newer rule's pairs
+    assert secrets.scan_versions(empty(spark), new_path(spark, "ledger"), "doc_id").count() == 0
