@@ -1,47 +1,14 @@
-"""What the operators of this subpackage share: tables in the cluster's shared folder, and batch bounds."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What separates words wherever a contract counts them: the space and U+0009 to U+000D.
-WORD = "[^\\x20\\x09-\\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir`` of the cluster; only where that is unset (tests, a laptop) is a
-    temporary folder made and set for the session.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="shared-")
-        context.setCheckpointDir(named)
-        named = context.getCheckpointDir()
-    return named
+from grainlake.sources.shared import materialise, new_path, shared_dir  # noqa: F401
 
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again.
-
-    It cuts lineage, and its rows outlive any executor. The folder belongs to whoever set
-    ``spark.checkpoint.dir``; tables stay there as the returned frame reads them lazily.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Words wherever a contract counts them; what separates them are the space and U+0009 to U+000D.
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
