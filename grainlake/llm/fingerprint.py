@@ -20,13 +20,16 @@ from .common import materialise
 SHOWN = 4
 #: Rounds of peeling before a pair counts as failed, and sizes that are tried.
 ROUNDS, ATTEMPTS = 8, 8
+#: Lines longer than this are cut behind the ends of sentences.
+LONG_LINE = 1000
 _CHECK = 97
 _LOW = -(1 << 63)
 
 
 def paragraphs(text: Column) -> Column:
-    """Lines, cut further behind the ends of sentences, without those that are blank."""
-    return F.filter(F.split(text, r"\n+|(?<=[.!?])\x20+"), lambda x: F.length(x) > 0)
+    """Lines that aren't empty; one of over ``LONG_LINE`` code points counts sentence by sentence."""
+    cut = F.transform(F.split(text, "\n"), lambda x: F.when(F.length(x) > LONG_LINE, F.split(x, r"(?<=[.!?])\x20+")).otherwise(F.array(x)))
+    return F.filter(F.flatten(cut), lambda x: F.length(x) > 0)
 
 
 def digests(text: Column) -> Column:
@@ -167,33 +170,31 @@ def compare_versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = with_next(df, id_col, text_col).withColumn("edited", edited)
-    sets = rows.select("bucket", "at", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("new"), digests(F.col("next_text")).alias("other"))
-    keep = ["bucket", "at", "pair"]
+    # Texts end here; what goes on are digests, eight bytes for each paragraph.
+    sets = materialise(rows.select("bucket", "at", "doc_id", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("edited"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("new"), digests(F.col("next_text")).alias("other")), "paragraph-digests")
+    key, keep = ["bucket", "at"], ["bucket", "at", "pair"]
     both = F.array(F.struct(F.lit(0).alias("pair"), F.col("own").alias("a"), F.col("new").alias("b")), F.struct(F.lit(1).alias("pair"), F.col("own").alias("a"), F.col("other").alias("b")))
+    of = lambda name, k: F.max(F.when(F.col("pair") == k, F.col(name))).alias(f"{name}_{k}")
 
-    def measured(pairs: DataFrame, attempt: int) -> DataFrame:
-        of = lambda name, k: F.max(F.when(F.col("pair") == k, F.col(name))).alias(f"{name}_{k}")
-        return differing(pairs, keep, attempt).groupBy("bucket", "at").agg(*(of(name, k) for name in ("differing", "failed") for k in (0, 1)))
-
-    pairs = sets.select("bucket", "at", F.inline(both))
-    signed = sets.withColumns({"fingerprint": fingerprint(F.col("own")), "edited_fingerprint": fingerprint(F.col("new"))})
-    failed = F.coalesce(F.col("failed_0"), F.lit(False)) | F.coalesce(F.col("failed_1"), F.lit(False))
-    joined = signed.join(measured(pairs, 0), ["bucket", "at"], "left").withColumn("failed", failed)
-    sizes = {f"_{x}": F.size(x) for x in ("own", "new", "other")}
-    # Only rows to be tried again keep their digests.
-    done = materialise(joined.withColumns(sizes).withColumns({x: F.when(F.col("failed"), F.col(x)) for x in ("own", "new", "other")}).drop("failed_0", "failed_1"), "sketches")
-    out, again = [done.where("not failed")], done.where("failed")
+    def measured(left: DataFrame, attempt: int) -> DataFrame:
+        # Digests are dealt out by row once; cells and peeling stay where their row is.
+        parts = max(left.sparkSession.sparkContext.defaultParallelism, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        pairs = left.select(*key, "own", "new", "other").repartition(parts, *key).select(*key, F.inline(both))
+        return differing(pairs, keep, attempt).groupBy(*key).agg(*(of(name, k) for name in ("differing", "failed") for k in (0, 1)))
+
+    tried = [materialise(measured(sets, 0), "differences")]
+    bad = F.coalesce(F.col("failed_0"), F.lit(False)) | F.coalesce(F.col("failed_1"), F.lit(False))
     for attempt in range(1, ATTEMPTS):
-        if again.isEmpty():
+        failed = tried[-1].where(bad)
+        if failed.isEmpty():
             break
-        tried = measured(again.select("bucket", "at", F.inline(both)), attempt)
-        again = materialise(again.drop("differing_0", "differing_1", "failed").join(tried, ["bucket", "at"], "left").withColumn("failed", failed).drop("failed_0", "failed_1"), "sketches-again")
-        out, again = [*out, again.where("not failed")], again.where("failed")
-    else:
-        if not again.isEmpty():
-            raise ValueError(f"some sketches can't be decoded after {ATTEMPTS} attempts")
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionByName(more)
-    near = lambda b, k: likeness(F.col("_own"), F.col(b), F.coalesce(F.col(f"differing_{k}"), F.lit(0)))
-    return result.select("doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", near("_new", 0).alias("near_edited"), near("_other", 1).alias("near_next"))
+        tried.append(materialise(measured(sets.join(failed, key, "left_semi"), attempt), "differences-again"))
+    if not tried[-1].where(bad).isEmpty():
+        raise ValueError(f"some sketches can't be decoded after {ATTEMPTS} attempts")
+    # Pairs of equal sets have no row; they differ in nothing.
+    known = tried[0].where(~bad)
+    for more in tried[1:]:
+        known = known.unionByName(more.where(~bad))
+    joined = sets.withColumn("_other", F.size("other")).drop("other").join(known.select(*key, "differing_0", "differing_1"), key, "left")
+    near = lambda b, k: likeness(F.size("own"), b, F.coalesce(F.col(f"differing_{k}"), F.lit(0)))
+    return joined.select("doc_id", "n_chars", F.lower(F.hex("edited")).alias("edited"), fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"), near(F.size("new"), 0).alias("near_edited"), near(F.col("_other"), 1).alias("near_next"))

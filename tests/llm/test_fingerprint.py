@@ -9,8 +9,7 @@ from odd import ROWS, empty, odd
 
 
 def units(text):
-    # Java's look-behind split; blank pieces have no digest
-    return {u for u in re.split(r"\n+|(?<=[.!?]) +", text) if u}
+    return {u for x in text.split("\n") for u in (re.split(r"(?<=[.!?]) +", x) if len(x) > 1000 else [x]) if u}
 
 
 def jaccard(a, b):
