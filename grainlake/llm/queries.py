@@ -14,6 +14,7 @@ from .mixing import mix
 from .packing import concatenate_and_cut
 from .secrets import scan_versions
 from .tokencount import count_tokens
+from .topk import top_k
 from .toxicity import fit, score
 from .warc import round_trip
 
@@ -52,6 +53,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *map(count, ("assign", "access", "hex")), F.sha2(shown, 256).alias("base_sha256"), shown.alias("spans"))
 
 
+def op5_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return top_k(docs, docs.where(F.col("doc_id") % 20 == 0))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -156,6 +162,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_token_counts, op4_secret_scan, op6_jaccard_join, op7_mixing, op8_line_dedup, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_token_counts, op4_secret_scan, op5_bm25_top_k, op6_jaccard_join, op7_mixing, op8_line_dedup, op9_toxicity, op10_packing)}
 
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_jaccard_join": OP6_SQL, "op7_mixing": OP7_SQL, "op8_line_dedup": OP8_SQL}
