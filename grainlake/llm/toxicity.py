@@ -1,11 +1,11 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Grades are ordered: 0 clean, 1 toxic, 2 densely toxic. P(grade > k) is the logistic function of one weighted sum of the
+Grades are ordered: 0 clean, 1 toxic, 2 very toxic. P(grade > k) is the logistic function of one weighted sum of the
 text's features less a threshold that grows with k; the weights are shared by all thresholds, and the expected
 severity is the sum of these probabilities.
 
-Labels say toxic or not. A toxic row's grade is 2 where words whose features mark toxic rows make up a larger
-share of it than they do in the median toxic row.
+Labels say toxic or not. A toxic row's grade is 2 where it has more features that mark toxic rows, repeats counted,
+than the median toxic row.
 """
 
 from __future__ import annotations
@@ -21,16 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainlake.operators.optimum import Stop, bfgs
+
 from .common import small_batches
 
 #: Labelled rows that a fit takes at most, in the order of a hash of their ids; buckets of features; features kept.
-MAX_LABELLED, BUCKETS, KEPT = 20_000, 1 << 20, 4096
+MAX_LABELLED, BUCKETS, KEPT = 20_000, 1 << 20, 512
+#: Features count if their log odds in toxic and other rows, and their G statistic, are above these.
+MIN_ODDS, MIN_G = 1.5, 25.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def _features(word: str) -> list[int]:
-    """Buckets of a word: itself, and its beginnings of three to seven letters, as stems of longer words."""
-    keys = [word + "$", *(word[:k] for k in range(3, min(8, len(word))))]
+    """Buckets of a word: itself, and its beginnings of four to seven letters, as stems of longer words."""
+    keys = [word + "$", *(word[:k] for k in range(4, min(8, len(word))))]
     return [zlib.crc32(k.encode()) % BUCKETS for k in keys]
 
 
@@ -75,31 +79,69 @@ class Model:
         return sums
 
 
-def fit_grades(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, size: int, steps: int = 300, ridge: float = 2e-3, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of the cumulative-link model by Adam on the whole sample.
+def fit_grades(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, size: int, ridge: float = 5e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of the cumulative-link model, by the likelihood of all rows of the sample.
 
     ``rows[i]`` are the features of row i below ``size`` and ``values[i]`` their values. Thresholds are a first one
     and positive steps, so their order holds.
     """
     length = np.array([len(r) for r in rows])
     owner, index, value = np.repeat(np.arange(len(rows)), length), np.concatenate(rows).astype(np.int64), np.concatenate(values)
-    links = max(1, int(grades.max()))
-    above = (grades[:, None] > np.arange(links)[None, :]).astype(float)
-    # Thresholds start where each is met as often as in the sample, without any feature.
-    start = -np.log(np.clip(above.mean(0), 1e-4, 1 - 1e-4) / (1 - np.clip(above.mean(0), 1e-4, 1 - 1e-4)))
-    params = np.concatenate([np.zeros(size), [start[0]], np.log(np.maximum(np.diff(start), 1e-3))])
-    first, second = np.zeros_like(params), np.zeros_like(params)
-    for step in range(1, steps + 1):
-        w, cuts = params[:size], params[size] + np.concatenate([[0], np.cumsum(np.exp(params[size + 1 :]))])
-        score = np.bincount(owner, w[index] * value, len(rows))
-        slip = (1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -50, 50))) - above) / len(rows)
+    links, n = max(1, int(grades.max())), len(rows)
+    upper, lower, top, bottom = np.minimum(grades, links - 1), np.maximum(grades - 1, 0), grades == links, grades == 0
+    below = lambda x: 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+    split = lambda params: params[size] + np.concatenate([[0], np.cumsum(np.exp(params[size + 1 :]))])
+
+    def loss(params: np.ndarray) -> tuple[float, np.ndarray]:
+        w, cuts = params[:size], split(params)
+        sums = np.bincount(owner, w[index] * value, n)
+        # A grade's probability is the logistic function's rise between the thresholds on either side of it.
+        high, low = np.where(top, 1.0, below(cuts[upper] - sums)), np.where(bottom, 0.0, below(cuts[lower] - sums))
+        rise = np.maximum(high - low, 1e-12)
         g = np.empty_like(params)
-        g[:size] = np.bincount(index, slip.sum(1)[owner] * value, size) + ridge * w
-        by_cut = -slip.sum(0)
+        g[:size] = np.bincount(index, ((1 - high - low) / n)[owner] * value, size) + ridge * w
+        by_cut = np.bincount(lower, low * (1 - low) / rise / n, links) - np.bincount(upper, high * (1 - high) / rise / n, links)
         g[size], g[size + 1 :] = by_cut.sum(), np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(params[size + 1 :])
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        params -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return params[:size], params[size] + np.concatenate([[0], np.cumsum(np.exp(params[size + 1 :]))])
+        return float(ridge * (w @ w) / 2 - np.log(rise).mean()), g
+
+    # Thresholds start where each is met as often as in the sample, without any feature.
+    met = np.clip([(grades > k).mean() for k in range(links)], 1e-4, 1 - 1e-4)
+    start = np.log((1 - met) / met)
+    begin = np.concatenate([np.zeros(size), [start[0]], np.log(np.maximum(np.diff(start), 1e-3))])
+    params = bfgs(loss, begin, Stop(gradient=1e-6, step=1e-7, rounds=200))
+    return params[:size], split(params)
+
+
+def fit_rows(keys: list[np.ndarray], counts: list[np.ndarray], toxic_rows: np.ndarray) -> Model:
+    """Fit on rows given as features and how often each occurs."""
+    if not toxic_rows.any() or toxic_rows.all():
+        return Model()
+    every, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for k, toxic in zip(keys, toxic_rows):
+        every[k] += 1
+        bad[k] += toxic
+    n, n_bad = len(keys), int(toxic_rows.sum())
+    # Smoothed log odds of a feature in toxic and other rows, and the G statistic of its table with the label.
+    odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((every - bad + 0.5) / (n - n_bad + 1))
+    told = np.zeros(BUCKETS)
+    for seen, mean in ((bad, every * n_bad / n), (every - bad, every * (n - n_bad) / n), (n_bad - bad, (n - every) * n_bad / n), (n - n_bad - every + bad, (n - every) * (n - n_bad) / n)):
+        told += np.where(seen > 0, 2 * seen * np.log(np.maximum(seen, 1e-9) / np.maximum(mean, 1e-9)), 0)
+    # What is weak or may be chance would only spread the weights.
+    told = np.where((np.abs(odds) > MIN_ODDS) & (told > MIN_G), told, 0)
+    chosen_keys = np.sort(np.argsort(-told, kind="stable")[:KEPT])
+    chosen_keys = chosen_keys[told[chosen_keys] > 0]
+    if not len(chosen_keys):
+        return Model()
+    marking = np.zeros(BUCKETS, bool)
+    marking[chosen_keys[odds[chosen_keys] > 2]] = True
+    amount = np.array([c[marking[k]].sum() for k, c in zip(keys, counts)])
+    grades = toxic_rows.astype(np.int64) + (toxic_rows & (amount > np.median(amount[toxic_rows])))
+    place = np.full(BUCKETS, -1)
+    place[chosen_keys] = np.arange(len(chosen_keys))
+    kept = [place[k] >= 0 for k in keys]
+    rows, values = [place[k[m]] for k, m in zip(keys, kept)], [_value(c[m]) for c, m in zip(counts, kept)]
+    weights, cuts = fit_grades(rows, values, grades, len(chosen_keys))
+    return Model({int(k): float(w) for k, w in zip(chosen_keys, weights) if w}, tuple(map(float, cuts)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
@@ -117,49 +159,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches):
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [])
+            out: tuple[list, ...] = ([], [])
             for text in batch.column(1).to_pylist():
                 counts: Counter = Counter()
-                words = _count(text)
-                for word, n in words.items():
+                for word, n in _count(text).items():
                     for f in _features(word):
                         counts[f] += n
                 keys = sorted(counts)
                 out[0].append(np.array(keys, "<i4").tobytes())
                 out[1].append(np.array([counts[k] for k in keys], "<i4").tobytes())
-                out[2].append(sum(words.values()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], names=["label", "keys", "counts", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["label", "keys", "counts"])
 
-    got = chosen.mapInArrow(count, "label int, keys binary, counts binary, words long").toArrow()
-    labels_ = np.array(got["label"].to_pylist(), dtype=np.int64) > 0
-    if not labels_.any() or labels_.all():
-        return Model()
-    keys = [np.frombuffer(x.as_py(), "<i4") for x in got["keys"]]
-    counts = [np.frombuffer(x.as_py(), "<i4") for x in got["counts"]]
-    words = np.maximum(1, np.array(got["words"].to_pylist()))
-    del got
-    every, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for k, toxic in zip(keys, labels_):
-        every[k] += 1
-        bad[k] += toxic
-    # Smoothed log odds of a feature in toxic and other rows, as a score of how sure it is.
-    n, n_bad = len(keys), int(labels_.sum())
-    odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((every - bad + 0.5) / (n - n_bad + 1))
-    sure = np.where(every >= 3, np.abs(odds) * np.sqrt(np.minimum(every, n)), 0)
-    chosen_keys = np.sort(np.argsort(-sure, kind="stable")[:KEPT])
-    chosen_keys = chosen_keys[sure[chosen_keys] > 0]
-    if not len(chosen_keys):
-        return Model()
-    marking = np.zeros(BUCKETS, bool)
-    marking[chosen_keys[odds[chosen_keys] > 2]] = True
-    rate = np.array([c[marking[k]].sum() / w for k, c, w in zip(keys, counts, words)])
-    grades = labels_.astype(np.int64) + (labels_ & (rate > np.median(rate[labels_])))
-    place = np.full(BUCKETS, -1)
-    place[chosen_keys] = np.arange(len(chosen_keys))
-    kept = [place[k] >= 0 for k in keys]
-    rows, values = [place[k[m]] for k, m in zip(keys, kept)], [_value(c[m]) for c, m in zip(counts, kept)]
-    weights, cuts = fit_grades(rows, values, grades, len(chosen_keys))
-    return Model({int(k): float(w) for k, w in zip(chosen_keys, weights) if w}, tuple(map(float, cuts)))
+    got = chosen.mapInArrow(count, "label int, keys binary, counts binary").toArrow()
+    ints = lambda name: [np.frombuffer(x.as_py(), "<i4") for x in got[name]]
+    return fit_rows(ints("keys"), ints("counts"), np.array(got["label"].to_pylist(), np.int64) > 0)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
