@@ -75,8 +75,7 @@ def line_search(objective: Objective, x: np.ndarray, direction: np.ndarray) -> f
 def bfgs(objective: Objective, x: np.ndarray, stop: Stop = Stop()) -> np.ndarray:
     """The minimum by quasi-Newton steps; the first round only scales the identity."""
     x = np.asarray(x, float)
-    one = np.eye(len(x))
-    inverse, gradient = one, np.asarray(objective(x)[1], float)
+    inverse, gradient = np.eye(len(x)), np.asarray(objective(x)[1], float)
     for k in range(stop.rounds + 2):
         direction = -(inverse @ gradient)
         after = x + line_search(objective, x, direction) * direction
@@ -85,10 +84,11 @@ def bfgs(objective: Objective, x: np.ndarray, stop: Stop = Stop()) -> np.ndarray
         if k > stop.rounds or np.linalg.norm(slope) < stop.gradient or np.linalg.norm(step) < stop.step:
             return after
         if k == 0:
-            inverse = (change @ step) / (change @ change) * one
+            inverse = (change @ step) / (change @ change) * np.eye(len(x))
         else:
-            p = 1 / (change @ step)
-            inverse = (one - p * np.outer(step, change)) @ inverse @ (one - p * np.outer(change, step)) + p * np.outer(step, step)
+            # The rank-two update, multiplied out so that it takes no product of matrices.
+            p, moved = 1 / (change @ step), inverse @ change
+            inverse = inverse - p * (np.outer(step, moved) + np.outer(moved, step)) + (p * p * (change @ moved) + p) * np.outer(step, step)
         x, gradient = after, slope
     return x
 
