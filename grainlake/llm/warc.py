@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 SEGMENT_BYTES = 64 * 1024
 RECORDS_PER_FILE = 128
 MIN_REVISIT_BYTES = 1000
@@ -166,69 +168,73 @@ _RECORD = T.StructType([
     T.StructField("record_type", T.StringType()), T.StructField("record_id", T.StringType()), T.StructField("origin_id", T.StringType()),
     T.StructField("segment", T.IntegerType()), T.StructField("total_length", T.LongType()), T.StructField("target_uri", T.StringType()),
     T.StructField("payload_digest", T.StringType()), T.StructField("row_id", T.LongType()), T.StructField("refers_to_row_id", T.LongType()),
-    T.StructField("payload_length", T.LongType()), T.StructField("block", T.BinaryType()),
+    T.StructField("payload_length", T.LongType()), T.StructField("block", T.BinaryType()), T.StructField("payload", T.BinaryType()),
 ])
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record of the archives under ``path``; ``segment`` is null where a record is whole."""
+def read_records(spark: SparkSession, path: str, decode: bool = False) -> DataFrame:
+    """One row a record of the archives under ``path``; ``segment`` is null where a record is whole. With ``decode``
+    whole responses have their ``payload`` instead of their ``block``."""
+    small_batches(spark, 200)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
 
     def number(text: str | None) -> int | None:
         return None if text is None else int(text)
 
+    def row(h: dict[str, str], block: bytes) -> tuple:
+        get, payload = h.get, None
+        if decode and "warc-segment-number" not in h:
+            payload, block = None if get("warc-type") == "revisit" else http_payload(block), None
+        origin, digest = get("warc-segment-origin-id") or get("warc-record-id"), get("warc-payload-digest") or ""
+        return get("warc-type"), get("warc-record-id"), origin, number(get("warc-segment-number")), number(get("warc-segment-total-length")), get("warc-target-uri"), digest.partition(":")[2] or None, number(get("x-row-id")), number(get("x-refers-to-row-id")), number(get("x-payload-length")), block, payload
+
     def parse(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = []
-                for h, block in split_records(batch.column(0)[k].as_py()):
-                    get = h.get
-                    origin = get("warc-segment-origin-id") or get("warc-record-id")
-                    rows.append((get("warc-type"), get("warc-record-id"), origin, number(get("warc-segment-number")), number(get("warc-segment-total-length")), get("warc-target-uri"), (get("warc-payload-digest") or "").partition(":")[2] or None, number(get("x-row-id")), number(get("x-refers-to-row-id")), number(get("x-payload-length")), block))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW)], names=_RECORD.names)
+                rows = [row(*x) for x in split_records(batch.column(0)[k].as_py())]
+                for at in range(0, len(rows), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64]), _ARROW)], names=_RECORD.names)
 
     return files.mapInArrow(parse, _RECORD)
 
 
-_ARROW = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_ARROW = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+
+_KEPT = ["record_id", "record_type", "target_uri", "payload_digest", "row_id", "refers_to_row_id", "payload_length"]
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """Whole records: segments put together, in ``record_id, record_type, target_uri, payload_digest, row_id,
-    refers_to_row_id, payload_length, block``.
+    """Segments put together, in ``record_id, record_type, target_uri, payload_digest, row_id, refers_to_row_id,
+    payload_length, block``; whole records have no part in it.
 
-    Only segments are shuffled, by the origin's identifier; a group is one record. Missing or repeated segments, a
+    Segments are shuffled by the origin's identifier; a group is one record. Missing or repeated segments, a
     missing first or last one, or a length other than the declared total raise an error.
     """
-    kept = ["record_id", "record_type", "target_uri", "payload_digest", "row_id", "refers_to_row_id", "payload_length", "block"]
-    whole = records.where(F.col("segment").isNull()).select(*kept)
     first = F.col("segment") == 1
     pick = lambda name: F.max(F.when(first, F.col(name))).alias(name)
     parts = F.array_sort(F.collect_list(F.struct("segment", "block")))
-    grouped = records.where(F.col("segment").isNotNull()).groupBy(F.col("origin_id").alias("record_id")).agg(*map(pick, kept[1:-1]), F.max("total_length").alias("_total"), parts.alias("_parts"))
+    grouped = records.where(F.col("segment").isNotNull()).groupBy(F.col("origin_id").alias("record_id")).agg(*map(pick, _KEPT[1:]), F.max("total_length").alias("_total"), parts.alias("_parts"))
     blocks = _join(F.transform("_parts", lambda x: x["block"]))
     joined = grouped.withColumn("block", blocks).withColumn("_numbers", F.transform("_parts", lambda x: x["segment"]))
     sound = (F.col("_numbers") == F.sequence(F.lit(1), F.size("_parts"))) & (F.octet_length("block") == F.col("_total"))
-    checked = joined.withColumn("block", F.when(F.coalesce(sound, F.lit(False)), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments don't add up: "), F.col("record_id"))).cast("binary")))
-    return whole.unionByName(checked.select(*kept))
+    error = F.raise_error(F.concat(F.lit("segments don't add up: "), F.col("record_id"))).cast("binary")
+    return joined.withColumn("block", F.when(F.coalesce(sound, F.lit(False)), F.col("block")).otherwise(error)).select(*_KEPT, "block")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Whole records of the archives under ``path`` with their decoded ``payload`` instead of ``block``; a revisit,
+    """Every record of the archives under ``path``, segments put together, with its decoded ``payload``; a revisit,
     which stores none, has null."""
-    whole = reassemble(read_records(spark, path))
-    schema = T.StructType([*(f for f in whole.schema if f.name != "block"), T.StructField("payload", T.BinaryType())])
-    kinds = whole.schema.names.index("record_type"), whole.schema.names.index("block")
+    parts = reassemble(read_records(spark, path))
+    schema = T.StructType([*(f for f in parts.schema if f.name != "block"), T.StructField("payload", T.BinaryType())])
 
     def decode(batches):
         for batch in batches:
-            kind, blocks = (batch.column(k) for k in kinds)
-            got = [None if kind[k].as_py() == "revisit" else http_payload(blocks[k].as_py()) for k in range(batch.num_rows)]
-            rest = [batch.column(k) for k in range(batch.num_columns) if k != kinds[1]]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(got, pa.binary())], names=schema.names)
+            got = [http_payload(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.binary())], names=schema.names)
 
-    return whole.mapInArrow(decode, schema)
+    whole = read_records(spark, path, decode=True).where(F.col("segment").isNull())
+    return whole.select(*_KEPT, "payload").unionByName(parts.mapInArrow(decode, schema))
 
 
 def round_trip(df: DataFrame, path: str, **names) -> DataFrame:
