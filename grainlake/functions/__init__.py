@@ -1,0 +1 @@
+"""Column functions: boxes, lattices, vectors."""

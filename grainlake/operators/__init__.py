@@ -1,0 +1 @@
+"""Operators on grids, graphs, matrices and segments."""

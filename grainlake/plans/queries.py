@@ -17,7 +17,10 @@ from grainlake.sources.shared import materialise
 BOX = BoxMeta((24, 16, 8), world=(1.0, -2.0, 0.5), spacing=(0.5, 0.25, 2.0))
 INNER = BoxMeta((10, 8, 4), (4, 4, 2))
 QUERIES, ORACLE_SQL = {}, {}
-X, Y, Z = (F.col(a) for a in AXES)
+
+
+def _xyz() -> tuple:
+    return tuple(F.col(a) for a in AXES)
 
 
 def query(sql: str | None = None):
@@ -124,7 +127,7 @@ def voxel_address(spark, sf_dir):
 @query("SELECT vid, (vid % 24)::INT AS x, ((vid // 24) % 16)::INT AS y, (vid // 384)::INT AS z FROM (SELECT unnest(range(3072)) AS vid)")
 def voxel_roundtrip(spark, sf_dir):
     all_ = grids.positions(spark, BOX)
-    return all_.where(BOX.vid(X, Y, Z) == F.col("vid"))
+    return all_.where(BOX.vid(*_xyz()) == F.col("vid"))
 
 
 @query(
@@ -141,9 +144,9 @@ def voxel_position_checked(spark, sf_dir):
     " (1.0 + 0.5 * x)::DOUBLE AS cx, (-2.0 + 0.25 * y)::DOUBLE AS cy, (0.5 + 2.0 * z)::DOUBLE AS cz, (0.75 + 0.5 * x)::DOUBLE AS lx, 0.5 + 2.0 * (z - 0.5::DOUBLE) + CASE WHEN value = 2 THEN 2.0 ELSE 0.0 END::DOUBLE AS dz FROM v"
 )
 def voxel_world_pos(spark, sf_dir):
-    b, c, d = BOX.base(X, Y, Z), BOX.centre(X, Y, Z), BOX.displaced(F.col("value"), X, Y, Z)
+    b, c, d = BOX.base(*_xyz()), BOX.centre(*_xyz()), BOX.displaced(F.col("value"), *_xyz())
     named = [v.alias(f"{n}{a}") for n, t in (("b", b), ("c", c)) for v, a in zip(t, AXES)]
-    return _grid(spark, sf_dir).select("vid", *named, BOX.linear(0, X).alias("lx"), d[2].alias("dz"))
+    return _grid(spark, sf_dir).select("vid", *named, BOX.linear(0, F.col("x")).alias("lx"), d[2].alias("dz"))
 
 
 @query(f"WITH {V} SELECT value, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM v GROUP BY value")
@@ -157,7 +160,7 @@ def bounding_box(spark, sf_dir):
     " x IN (4, 13) OR y IN (4, 11) OR z IN (2, 5) AS on_border FROM v"
 )
 def in_box_filter(spark, sf_dir):
-    return _grid(spark, sf_dir).select("vid", INNER.inside(X, Y, Z).alias("inside"), INNER.on_border(X, Y, Z).alias("on_border"))
+    return _grid(spark, sf_dir).select("vid", INNER.inside(*_xyz()).alias("inside"), INNER.on_border(*_xyz()).alias("on_border"))
 
 
 @query(
@@ -182,7 +185,7 @@ def neighbour_pairs(spark, sf_dir):
 )
 def lattice_places(spark, sf_dir):
     rows = _grid(spark, sf_dir).select("vid", *AXES, F.explode(F.array(*map(F.lit, range(3)))).alias("axis"))
-    f, e = lattice.face_place(F.col("axis"), X, Y, Z), lattice.edge_place(F.col("axis"), X, Y, Z)
+    f, e = lattice.face_place(F.col("axis"), *_xyz()), lattice.edge_place(F.col("axis"), *_xyz())
     back = lattice.voxel_of(*f)
     named = [v.cast("int").alias(f"{n}{a}") for n, t in (("f", f), ("e", e), ("v", back)) for v, a in zip(t, AXES)]
     return rows.select("vid", "axis", *named, lattice.face_axis(*f).alias("face_axis"), lattice.edge_axis(*e).alias("edge_axis"))
@@ -196,7 +199,7 @@ def lattice_places(spark, sf_dir):
 def vtk_corner_ids(spark, sf_dir):
     rows = _grid(spark, sf_dir).select("vid", *AXES, F.explode(F.array(*map(F.lit, range(3)))).alias("axis"))
     k = F.col("axis")
-    return rows.select("vid", "axis", lattice.cell_corners(BOX, k, X, Y, Z).alias("corners"), lattice.cell_ends(BOX, k, X, Y, Z).alias("ends"), BOX.extended().vid(X, Y, Z).alias("point"))
+    return rows.select("vid", "axis", lattice.cell_corners(BOX, k, *_xyz()).alias("corners"), lattice.cell_ends(BOX, k, *_xyz()).alias("ends"), BOX.extended().vid(*_xyz()).alias("point"))
 
 
 @query(
@@ -207,7 +210,7 @@ def vtk_corner_ids(spark, sf_dir):
 )
 def face_planes(spark, sf_dir):
     rows = _grid(spark, sf_dir).select("vid", *AXES, F.explode(F.array(*map(F.lit, range(3)))).alias("axis"))
-    p, n = lattice.face_plane(BOX, F.col("axis"), X, Y, Z)
+    p, n = lattice.face_plane(BOX, F.col("axis"), *_xyz())
     zero, one = F.lit(0.0), F.lit(1.0)
     met = lattice.intersection(p, n, (zero, zero, zero), (one, zero, zero))
     return rows.select("vid", "axis", *(v.alias(f"{m}{a}") for m, t in (("p", p), ("n", n)) for v, a in zip(t, AXES)), met[0].alias("meets_x"))

@@ -1,0 +1 @@
+"""Sources and sinks: grids, tables, files for viewers."""

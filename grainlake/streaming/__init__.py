@@ -1,0 +1 @@
+"""The library has no streaming operator."""
