@@ -107,6 +107,7 @@ def scan_versions(df: DataFrame, ledger: str, path_col: str, text_col: str = "te
     rank = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)))
     current = spark.read.parquet(f"{ledger}/found").where(F.col("version") == version[F.col("kind")])
     one = F.struct("start", rank[F.col("kind")].alias("rank"), "kind", "stop")
-    by_blob = current.groupBy("blob").agg(F.array_sort(F.collect_list(one)).alias("spans"))
+    # A table, as only a side that comes straight from its exchange lets the rows of a hot blob be split.
+    by_blob = materialise(current.groupBy("blob").agg(F.array_sort(F.collect_list(one)).alias("spans")), "findings")
     none = F.array().cast(by_blob.schema["spans"].dataType)
     return versions.join(by_blob, "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))
