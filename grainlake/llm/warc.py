@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import materialise, small_batches
 
 SEGMENT_BYTES = 64 * 1024
 RECORDS_PER_FILE = 128
@@ -58,7 +58,8 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     hash. Only payloads that occur more than once are joined, whose rows adaptive execution splits if one is hot."""
     same = ["digest", "size", "_check"]
     large = pages.where(F.col("size") >= min_bytes).groupBy(*same).agg(F.max("id").alias("_rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    joined = pages.join(large, same, "left")
+    # A table, as only a side that comes straight from its exchange lets a hot payload's rows be split.
+    joined = pages.join(materialise(large, "repeated-payloads"), same, "left")
     # Null ids come before all others, and rows that share the largest id are responses, each of them.
     return joined.withColumn("refers_to", F.when(F.col("id").isNull() | (F.col("id") < F.col("_rep")), F.col("_rep"))).withColumn("revisit", F.col("_rep").isNotNull() & ~F.col("id").eqNullSafe(F.col("_rep"))).drop("_rep", "_check")
 
