@@ -118,7 +118,7 @@ def vertices(labels: DataFrame, edges: DataFrame, box: BoxMeta) -> DataFrame:
 
     A vertex lies at the lower corner of voxel ``vid``. Alternatives count from the largest ``vid`` down.
     """
-    x, y, z = BoxMeta(box.dim).position(F.col("vid") if box.origin == (0, 0, 0) else F.col("vid"))
+    x, y, z = BoxMeta(box.dim).position(F.col("vid"))
     corners = F.array(*(F.struct((x + a).alias("x"), (y + b).alias("y"), (z + c).alias("z")) for a in (0, 1) for b in (0, 1) for c in (0, 1)))
     grains = labels.select("label", F.explode(corners).alias("c")).select("label", "c.*").groupBy(*AXES).agg(F.collect_set("label").alias("grains")).where(F.size("grains") > 3)
     ends = edges.select("edge", F.explode(_steps_around(F.col("axis"), "edge")).alias("spot")).select("edge", *(F.col(f"spot.{h}") for h in H))

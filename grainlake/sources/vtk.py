@@ -5,18 +5,21 @@ A viewer's file is one document, so rows are streamed to it in order through the
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable
 from pathlib import Path
 from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainlake.functions import lattice
 from grainlake.functions.box import AXES, BoxMeta
+from grainlake.sources.shared import materialise
 
-# Cell types of the format.
+# Cell types of the format by their number of corners, and corners of each kind of element.
 CELL_TYPES = {1: 1, 2: 3, 4: 9}
+CELL_WIDTH = {"voxel": 1, "edge": 2, "face": 4}
 
 
 def _array(out, kind: str, name: str, parts: int, values: Iterable) -> None:
@@ -66,29 +69,23 @@ def cells(elements: DataFrame, box: BoxMeta, kind: str) -> DataFrame:
 
 def write_unstructured(path: str | Path, rows: DataFrame, box: BoxMeta, kind: str) -> None:
     """Cells of ``rows(color, key, axis, x, y, z)`` in the order of color and key, with the attribute ``color``."""
-    listed = [(r.color, list(r.corners)) for r in cells(rows, box, kind).orderBy("color", "key").toLocalIterator()]
-    wide = box.extended()
+    ordered = materialise(cells(rows, box, kind), "cells").orderBy("color", "key")
+    wide, n, width = box.extended(), ordered.count(), CELL_WIDTH[kind]
     with _open(path, "UnstructuredGrid") as out:
-        out.write(f'<UnstructuredGrid><Piece NumberOfPoints="{wide.size}" NumberOfCells="{len(listed)}">\n<Points>\n')
+        out.write(f'<UnstructuredGrid><Piece NumberOfPoints="{wide.size}" NumberOfCells="{n}">\n<Points>\n')
         _array(out, "Float32", "Points", 3, (c for p in corner_points(box) for c in p))
         out.write("</Points>\n<Cells>\n")
-        _array(out, "Int64", "connectivity", 1, (" ".join(map(str, c)) for _, c in listed))
-        ends, total = [], 0
-        for _, c in listed:
-            total += len(c)
-            ends.append(total)
-        _array(out, "Int64", "offsets", 1, ends)
-        _array(out, "UInt8", "types", 1, (CELL_TYPES[len(c)] for _, c in listed))
+        _array(out, "Int64", "connectivity", 1, (" ".join(map(str, r.corners)) for r in ordered.select("corners", "color", "key").toLocalIterator()))
+        _array(out, "Int64", "offsets", 1, range(width, (n + 1) * width, width))
+        _array(out, "UInt8", "types", 1, itertools.repeat(CELL_TYPES[width], n))
         out.write("</Cells>\n<CellData>\n")
-        _array(out, "Int64", "color", 1, (c for c, _ in listed))
+        _array(out, "Int64", "color", 1, (r.color for r in ordered.select("color", "key").toLocalIterator()))
         out.write("</CellData>\n</Piece></UnstructuredGrid></VTKFile>\n")
 
 
 def element_rows(entities: DataFrame, id_col: str, units: str = "prop") -> DataFrame:
     """``color, key, axis, x, y, z`` from elements with lattice places: groups count from 1 in the order of their ids;
     those without a property are left out."""
-    from pyspark.sql import Window
-
     kept = entities.where(F.col(units).isNotNull()).withColumn("color", F.row_number().over(Window.orderBy(id_col)))
     places = kept.select("color", F.posexplode(units).alias("key", "p")).select("color", "key", "p.*")
     h = [F.col(c) for c in ("hx", "hy", "hz")]

@@ -1,15 +1,29 @@
 """Every registered query of the library itself against its SQL."""
 
+import functools
 import os
 
 import duckdb
 import pytest
 
+from grainlake.plans import queries
 from grainlake.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def once():
+    """Labels and topology are made once for all tests of this module."""
+    patch = pytest.MonkeyPatch()
+    for name in ("_labels", "_units", "_built"):
+        made = getattr(queries, name)
+        kept = (lambda f: lambda spark, sf_dir: queries.materialise(f(spark, sf_dir), "shared"))(made) if name != "_built" else made
+        patch.setattr(queries, name, functools.cache(kept))
+    yield
+    patch.undo()
+
+
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
