@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table, word_count
+from .common import materialise, new_path, table, word_count
 from .fingerprint import compare_versions
 from .jaccard import jaccard_components
 from .linededup import drop_boilerplate, host_of, html_lines
@@ -123,6 +123,7 @@ FROM placed
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.coalesce("html", F.lit(""))).alias("before"))
+    pages = materialise(pages, "page-lines")  # tags are taken out once, for both passes
     cut = drop_boilerplate(pages.withColumn("text", F.col("before")), F.col("host"))
     lines = lambda c: F.size(F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")).cast("long")
     return cut.select("page_id", "host", lines("before").alias("n_lines"), (lines("before") - lines("text")).alias("n_dropped"), "text")
