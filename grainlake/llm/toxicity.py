@@ -26,9 +26,9 @@ from grainlake.operators.optimum import Stop, bfgs
 from .common import small_batches
 
 #: Labelled rows that a fit takes at most, in the order of a hash of their ids; buckets of features; features kept.
-MAX_LABELLED, BUCKETS, KEPT = 20_000, 1 << 20, 512
+MAX_LABELLED, BUCKETS, KEPT = 8_000, 1 << 20, 512
 #: Features count if their log odds in toxic and other rows, and their G statistic, are above these.
-MIN_ODDS, MIN_G = 1.5, 25.0
+MIN_ODDS, MIN_G = 1.5, 18.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
