@@ -26,7 +26,9 @@ from .common import materialise, small_batches
 #: Bits of a signature, documents of a leaf, children of a node.
 BITS, LEAF, FANOUT = 2048, 16, 8
 #: Shingles that a block of a family holds, about; larger families are cut into blocks.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 4_000_000
+#: Keys of parts that one task sorts, about.
+BUCKET_PARTS = 4_000_000
 #: Smallest sizes of successive size classes are about this far apart.
 CLASS_RATIO = 1.4
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -61,36 +63,45 @@ class Shingler:
         return np.unique(out)
 
 
-def size_classes(n: int, least: Fraction, ratio: float = CLASS_RATIO) -> list[tuple[int, int]]:
-    """(class, parts) of a set of ``n`` shingles: of its own class, and of the one before if a set of that class can
-    be a smaller partner. Two sets that can be linked share the class of the smaller one."""
+def size_classes(n: int, least: Fraction, ratio: float = CLASS_RATIO) -> list[tuple[int, int, int]]:
+    """(class, parts, spare) of a set of ``n`` shingles: of its own class, and of the one before if a set of that
+    class can be a smaller partner. Two sets that can be linked share the class of the smaller one."""
     low, c = 1, 0
     while True:
         high = max(low + 1, int(low * ratio))  # the class's sizes are low to high - 1
         if n < high:
-            found = [(c, _parts(high - 1, least))]
+            found = [(c, *_parts(high - 1, least))]
             if c and (low - 1) >= n * least:
-                found.append((c - 1, _parts(low - 1, least)))
+                found.append((c - 1, *_parts(low - 1, least)))
             return found
         low, c = high, c + 1
 
 
-def _parts(largest: int, least: Fraction) -> int:
-    """One part more than two linked sets can differ in, the smaller of up to ``largest`` shingles."""
-    return int(largest * (1 / least - 1)) + 1
+def _parts(largest: int, least: Fraction) -> tuple[int, int]:
+    """Parts for sets of which the smaller has up to ``largest`` shingles, and how many more they are than needed: one
+    more than such sets can differ in would be enough for one equal part, ``spare`` more give as many more."""
+    differ = int(largest * (1 / least - 1))
+    spare = -(-differ // 10) + 1 if differ else 0
+    return differ + 1 + spare, spare
 
 
 def part_keys(shingles: np.ndarray, least: Fraction, known: dict) -> np.ndarray:
-    """A key for each part of each size class, from the class, the part and the shingles that fall into it."""
+    """A key for each part of each size class, from the class, the part and the shingles that fall into it.
+
+    Linked sets have over ``spare`` equal parts. Empty parts say nothing, so they are left out; where a set has more
+    of them than ``spare`` they are kept, as all that two such sets have equal might be empty.
+    """
     out, n = [], len(shingles)
     if n not in known:
         known[n] = size_classes(n, least)
-    for c, parts in known[n]:
+    for c, parts, spare in known[n]:
         at = (shingles % np.uint64(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, at, _mix(shingles * _M1))
         tags = np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)
-        out.append(_mix(_mix(tags * _M1) + sums * _M2))
+        keys = _mix(_mix(tags * _M1) + sums * _M2)
+        held = np.bincount(at, minlength=parts) > 0
+        out.append(keys if parts - held.sum() > spare else keys[held])
     return np.concatenate(out)
 
 
@@ -221,34 +232,96 @@ class Forest:
         return int((y[np.minimum(at, len(y) - 1)] == x).sum())
 
 
-def _shingled(df: DataFrame, words: int, least: Fraction, what: str) -> DataFrame:
-    """Row by row from ``df(id, text, ...)``: ``sets``: id, n, node; ``keys``: node, key; ``hashes``: the row and n, node, hashes.
+def _node(s: np.ndarray) -> int:
+    """A 64-bit hash of a set: rows with equal sets are one node of the graph."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the smallest node of each, and pairs of every other node of a key with it."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+    least = nodes[new][np.cumsum(new) - 1]
+    other = nodes != least
+    pairs = np.unique(np.stack([nodes[other], least[other]], 1), axis=0)
+    return keys[new], nodes[new], pairs
 
-    ``node`` is a 64-bit hash of the set: rows with equal sets are one node.
+
+def shared_parts(df: DataFrame, words: int, least: Fraction, bits: int, at_once: int = 1 << 20) -> DataFrame:
+    """``node, least`` for ``df(text)``: each node that shares a part with others, and the smallest node among them.
+
+    Keys of about ``at_once`` parts are sorted together where texts are read. Nodes that meet there are linked there,
+    and one of them goes on, so a part that many documents share sends one row a million keys. The others are dealt
+    out by the first ``bits`` of their keys, packed: a row has the keys of many documents, each with eight bytes and a
+    place in a list of nodes.
     """
     small_batches(df.sparkSession)
-    kind = df.schema["id"].dataType.simpleString() if "id" in df.columns else ""
-    schema = {"sets": f"id {kind}, n long, node long", "keys": "node long, key long", "hashes": "wanted long, family long, group long, n long, node long, hashes binary"}[what]
 
-    def node(s: np.ndarray) -> int:
-        return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+    def pack(keys: list[np.ndarray], owners: list[np.ndarray]):
+        key, node, pairs = _stars(np.concatenate(keys), np.concatenate(owners))
+        cuts = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(key)])
+        rows = []
+        for bucket in np.flatnonzero(np.diff(cuts)):
+            part = slice(cuts[bucket], cuts[bucket + 1])
+            own, place = np.unique(node[part], return_inverse=True)
+            rows.append((int(bucket), key[part].tobytes(), own.tobytes(), place.astype(np.uint32 if len(own) > 1 << 16 else np.uint16).tobytes()))
+        for at in range(0, len(pairs), 100_000):
+            # Links that were found here: a row without keys.
+            rows.append((int(pairs[at, 0] % (1 << bits)), b"", pairs[at : at + 100_000].tobytes(), b""))
+        for at in range(0, len(rows), 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 16]), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "keys", "nodes", "places"])
+
+    def spread(batches):
+        shingler, classes = Shingler(words), {}
+        keys, owners, held = [], [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                s = shingler(text)
+                if len(s):
+                    keys.append(part_keys(s, least, classes))
+                    owners.append(np.full(len(keys[-1]), _node(s), np.int64))
+                    held += len(keys[-1])
+                    if held >= at_once:
+                        yield from pack(keys, owners)
+                        keys, owners, held = [], [], 0
+        if held:
+            yield from pack(keys, owners)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, nodes, pairs = [], [], []
+        for key, node, place in zip(pdf["keys"], pdf["nodes"], pdf["places"]):
+            own = np.frombuffer(node, np.int64)
+            if key:
+                keys.append(np.frombuffer(key, np.uint64))
+                nodes.append(own[np.frombuffer(place, np.uint16 if len(own) <= 1 << 16 else np.uint32)])
+            else:
+                pairs.append(own.reshape(-1, 2))
+        if keys:
+            pairs.append(_stars(np.concatenate(keys), np.concatenate(nodes))[2])
+        found = np.unique(np.concatenate(pairs), axis=0)
+        return pd.DataFrame({"node": found[:, 0], "least": found[:, 1]})
+
+    packed = df.select("text").mapInArrow(spread, "bucket int, keys binary, nodes binary, places binary")
+    return packed.groupBy("bucket").applyInPandas(meet, "node long, least long").distinct()
+
+
+def _shingled(df: DataFrame, words: int, least: Fraction, what: str) -> DataFrame:
+    """Row by row from ``df(id, text, ...)``: ``sets``: id, n, node; ``hashes``: n, node, hashes."""
+    small_batches(df.sparkSession)
+    kind = df.schema["id"].dataType.simpleString() if "id" in df.columns else ""
+    schema = {"sets": f"id {kind}, n long, node long", "hashes": "n long, node long, hashes binary"}[what]
 
     def run(batches):
-        shingler, classes = Shingler(words), {}
+        shingler = Shingler(words)
         for batch in batches:
             sets = [shingler(t) for t in batch.column("text").to_pylist()]
-            nodes, sizes = np.array([node(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int64)
+            nodes, sizes = np.array([_node(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int64)
             if what == "sets":
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(nodes)], names=["id", "n", "node"])
-            elif what == "hashes":
-                raw = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("wanted", "family", "group")), pa.array(sizes), pa.array(nodes), raw], names=["wanted", "family", "group", "n", "node", "hashes"])
             else:
-                keys = [part_keys(s, least, classes) if len(s) else s for s in sets]
-                owner = np.repeat(nodes, [len(k) for k in keys])
-                flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-                for at in range(0, len(flat), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(owner[at : at + 200_000]), pa.array(flat[at : at + 200_000])], names=["node", "key"])
+                raw = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(nodes), raw], names=["n", "node", "hashes"])
 
     return df.mapInArrow(run, schema)
 
@@ -287,11 +360,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = materialise(_shingled(rows, words, least, "sets"), "shingle-sets")
-    keys = _shingled(rows.select("text"), words, least, "keys")
-    # Map-side minima and maxima keep a part that many documents share from going to one task.
-    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
-    shared = materialise(shared, "shared-parts")
-    stars = materialise(keys.join(shared, "key").where("node <> least").select("node", "least").distinct(), "stars")
+    # As many buckets as keep a few million parts in each; a set has about so many parts as shingles times this.
+    total = (sets.agg(F.sum("n")).first()[0] or 0) * float(1 / least - 1) * CLASS_RATIO
+    bits = max(6, int(np.ceil(np.log2(max(1.0, total / BUCKET_PARTS)))))
+    stars = materialise(shared_parts(rows, words, least, bits), "stars")
     families = materialise(connected_components(stars, "node", "least"), "families").select(F.col("id").alias("node"), F.col("label").alias("family"))
     links = _family_links(rows, sets, families, words, least, block_shingles)
     groups = connected_components(links) if links is not None else None
@@ -299,7 +371,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if groups is not None:
         groups = groups.select(F.col("id").alias("node"), F.col("label").alias("group"))
         nodes = sets.join(groups, "node", "left").withColumn("top", F.coalesce("group", "node"))
-    tops = nodes.where("n > 0").groupBy("top").agg(F.min("id").alias("first"))
+    # A table, as only a side that comes straight from its exchange lets the rows of a hot group be split.
+    tops = materialise(nodes.where("n > 0").groupBy("top").agg(F.min("id").alias("first")), "groups")
     found = nodes.join(tops, "top", "left")
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id")).alias("component_id"))
 
@@ -311,10 +384,11 @@ def _family_links(rows: DataFrame, sets: DataFrame, families: DataFrame, words:
     blocks = F.ceil(F.col("all") / block_shingles)
     placed = reps.join(total, "family").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("blocks", blocks.cast("int"))
     placed = materialise(placed.select("node", "family", "n", F.col("id").alias("rep"), "block", "blocks"), "family-nodes")
-    # Only texts whose rows stand for a node of a family are read into sets; the side with ids is hashed.
-    wanted = placed.select(F.col("rep"), F.col("node").alias("wanted"), "family", F.lit(0).cast("long").alias("group")).hint("shuffle_hash")
-    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("text", "wanted", "family", "group")
-    hashes = _shingled(texts, words, least, "hashes").where("node = wanted").drop("wanted", "group", "family").dropDuplicates(["node"])
+    # Only texts whose rows stand for a node of a family are read into sets: their ids are a table, which Spark sends
+    # to all tasks if it is small and else deals out with the texts.
+    ids = materialise(placed.select("rep").distinct(), "family-ids")
+    texts = rows.join(ids, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    hashes = _shingled(texts, words, least, "hashes").dropDuplicates(["node"])
     full = materialise(hashes.join(placed.select("node", "family", "block", "blocks"), "node"), "family-sets")
     own = F.lit(0).alias("side")
     alone = full.withColumn("group", F.col("node"))

@@ -86,6 +86,8 @@ def test_keys_and_classes_at_every_size():
             drop = len(a) // 10  # the smaller set has 0.9 of the larger
             b = np.sort(rng.permutation(a)[drop:])
             assert set(jaccard.part_keys(a, Fraction(9, 10), {})) & set(jaccard.part_keys(b, Fraction(9, 10), {}))
+            kept = np.sort(rng.permutation(a)[len(a) // 5 :])
+            assert set(jaccard.part_keys(a, Fraction(4, 5), {})) & set(jaccard.part_keys(kept, Fraction(4, 5), {}))
 
 
 def test_trees_prune_and_find_every_component():
