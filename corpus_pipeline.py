@@ -35,16 +35,17 @@ def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles the one with the smallest id; those without words all stay.
 
-    A repeated id stays once. Rows without an id stay if they reach no row with one, or if any other such row does.
+    A repeated id is one document: it stays once, and goes if any of its rows reaches a smaller id. Rows without an id
+    all stay.
     """
     found = materialise(jaccard_components(docs, words=WORDS, least=SIMILARITY), "near-duplicates")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
+    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates-gone")
     ids, different = found.where("doc_id is not null").agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     unique = docs
     if ids > different:
         named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
         unique = named.unionByName(docs.where("doc_id is null"))
-    return unique.join(kept.distinct().hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    return unique.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
