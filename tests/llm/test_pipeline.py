@@ -18,7 +18,7 @@ def test_stages_against_brute_force(spark, sf):
     columns = docs.columns
     kept = materialise(cp.drop_toxic(spark, docs, sf), "t1")
     p = {r.doc_id: r.p_toxic for r in score(docs, fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))).collect()}
-    assert kept.columns == columns and {r.doc_id for r in kept.collect()} == {i for i, v in p.items() if v <= 0.5} < set(p)
+    assert kept.columns == columns and {r.doc_id for r in kept.collect()} == {i for i, v in p.items() if v <= 0.5} and len(p) > len(kept.collect())
 
     cut = materialise(cp.drop_site_lines(spark, kept, sf), "t2")
     before, after = ({r.doc_id: r for r in x.collect()} for x in (kept, cut))
