@@ -25,8 +25,8 @@ from .common import materialise, small_batches
 
 #: Bits of a signature, documents of a leaf, children of a node.
 BITS, LEAF, FANOUT = 2048, 16, 8
-#: Shingles that a block of a family holds, about; larger families are cut into blocks.
-BLOCK_SHINGLES = 4_000_000
+#: Shingles that a block of a family holds, about (eight bytes each); larger families are cut into blocks.
+BLOCK_SHINGLES = 12_000_000
 #: Keys of parts that one task sorts, about.
 BUCKET_PARTS = 4_000_000
 #: Smallest sizes of successive size classes are about this far apart.
@@ -405,9 +405,12 @@ def _family_links(rows: DataFrame, sets: DataFrame, families: DataFrame, words:
         open_ = each.groupBy("family").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("family")
         each = each.join(open_, "family", "left_semi")
         other = each.select(*(F.col(c).alias(f"{c}_2") for c in ("family", "block", "low", "high")))
-        after = F.pmod(F.col("block") + 1, F.col("blocks")) == F.col("block_2") if step == 1 else F.col("block") < F.col("block_2")
+        # First each block with the next one, the last with the first; then the pairs that are left.
+        gap = F.col("block_2") - F.col("block")
+        beside = (gap == 1) | ((gap == F.col("blocks") - 1) & (gap > 1))
+        after = (gap > 0) & (beside if step == 1 else ~beside)
         done = (F.col("low") == F.col("high")) & (F.col("low_2") == F.col("high_2")) & (F.col("low") == F.col("low_2"))
-        pairs = each.join(other, (F.col("family") == F.col("family_2")) & after & (F.col("block") != F.col("block_2"))).where(~done)
+        pairs = each.join(other, (F.col("family") == F.col("family_2")) & after).where(~done)
         sides = F.array(F.struct(F.col("block").alias("own"), F.lit(0).alias("side")), F.struct(F.col("block_2").alias("own"), F.lit(1).alias("side")))
         pairs = materialise(pairs.select("family", "block", "block_2", F.inline(sides)).withColumnsRenamed({"block": "one", "block_2": "two", "own": "block"}), "block-pairs")
         if not pairs.isEmpty():
