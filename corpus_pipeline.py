@@ -50,12 +50,18 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for, whole; the one at which the last walk ends counts if
-    at least half of it is within."""
-    mixed = mix(docs, word_count(F.col("text")))
+    at least half of it is within. Rows without an id each count for themselves."""
+    # What has no id can't be found again by one, so those rows go along.
+    own = F.when(F.col("doc_id").isNull(), F.struct(*map(F.col, docs.columns)))
+    mixed = mix(docs, word_count(F.col("text")), carry=own)
     copies = F.col("whole") + F.when((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size")), 1).otherwise(0)
-    times = mixed.groupBy("doc_id").agg(F.max(copies).cast("int").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(times.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    mixed = mixed.withColumn("_copies", copies.cast("int"))
+    named = mixed.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"))
+    times = named.agg(F.max("_copies").alias("_copies")).where("_copies > 0")
+    joined = docs.join(times.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
+    nameless = mixed.where("doc_id is null and _copies > 0").select("carried.*", "_copies")
+    taken = joined.select(*docs.columns, "_copies").unionByName(nameless)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

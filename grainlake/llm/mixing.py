@@ -32,7 +32,7 @@ def water_fill(sources: DataFrame, weight_col: str, size_col: str, max_epochs: i
     return filled.withColumn("target", target).drop("_cap", "_all", "_weights", "_caps", "_upto", "_level", "_free", "_flat")
 
 
-def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 1) -> DataFrame:
+def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 1, carry: Column | None = None) -> DataFrame:
     """One row for each row of ``df``: ``doc_id, source, size, source_size, target, whole, part``.
 
     Sources in code point order, null last, weigh ``weights`` in turn. A source takes each document ``whole``
@@ -42,10 +42,11 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
 
     A null size counts as 0. Null sources are one source. Null ids hash as the empty string; rows that repeat an
     id are documents of their own, and those alike in id and size too are interchangeable. No rows, no rows.
-    Other columns are ignored, whatever their names.
+    Other columns are ignored, whatever their names, but for ``carry``, which each row keeps as ``carried``.
     """
+    carried = [] if carry is None else [carry.alias("carried")]
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), *carried)
     # A key without nulls, so that joins and windows are dealt out alike.
     named = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
     docs = docs.withColumns({"_s": named, "_key": key}).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
@@ -62,4 +63,4 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
     here = Window.partitionBy("_s", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = docs.join(offsets, ["_s", "_bucket"]).withColumn("_start", F.col("_before") + F.sum("size").over(here) - F.col("size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_last") - F.col("_start"))).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", "whole", part.alias("part"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "whole", part.alias("part"), *(["carried"] if carried else []))
