@@ -64,16 +64,15 @@ class Shingler:
 
 
 def size_classes(n: int, least: Fraction, ratio: float = CLASS_RATIO) -> list[tuple[int, int, int]]:
-    """(class, parts, spare) of a set of ``n`` shingles: of its own class, and of the one before if a set of that
+    """(class, parts, spare) of a set of ``n`` shingles: of its own class, and of each one before if a set of that
     class can be a smaller partner. Two sets that can be linked share the class of the smaller one."""
-    low, c = 1, 0
+    low, c, found = 1, 0, []
     while True:
         high = max(low + 1, int(low * ratio))  # the class's sizes are low to high - 1
+        if high - 1 >= n * least or n < high:
+            found.append((c, *_parts(high - 1, least)))
         if n < high:
-            found = [(c, *_parts(high - 1, least))]
-            if c and (low - 1) >= n * least:
-                found.append((c - 1, *_parts(low - 1, least)))
-            return found
+            return found[::-1]
         low, c = high, c + 1
 
 
