@@ -25,71 +25,84 @@ class Stop:
 DECREASE, CURVATURE = 1e-4, 0.3
 
 
-def line_search(objective: Objective, x: np.ndarray, direction: np.ndarray) -> float:
-    """A step that meets the strong Wolfe conditions: doubled until it brackets one, then halved; 1 uphill."""
+def _cubic_minimum(a: float, fa: float, da: float, b: float, fb: float, db: float) -> float:
+    """Where the cubic through two values and slopes is least; NaN where it has no minimum."""
+    bend = da + db - 3 * (fa - fb) / (a - b)
+    inner = bend * bend - da * db
+    if inner < 0:
+        return float("nan")
+    root = float(np.copysign(np.sqrt(inner), b - a))
+    below = db - da + 2 * root
+    return b - (b - a) * (db + root - bend) / below if below else float("nan")
+
+
+def line_search(objective: Objective, x: np.ndarray, direction: np.ndarray, first: float = 1.0, tries: int = 60) -> float:
+    """A step that meets the strong Wolfe conditions, after Nocedal and Wright (2006), algorithms 3.5 and 3.6; 1 uphill.
+
+    An interval opens at 0 and has no end yet. A trial that is too high becomes its end; one that is lower but still
+    steep becomes the end that counts as best, and the other end stays where the slope points to. Without an end
+    steps go on by a factor; with one the next trial is the least point of the cubic through both, kept off the ends.
+    After ``tries`` trials, or where the interval is too short to tell, the best step is good enough.
+    """
     x, direction = np.asarray(x, float), np.asarray(direction, float)
-    seen: dict[float, tuple[float, float]] = {}
 
-    def at(a: float) -> tuple[float, float]:
-        if a not in seen:
-            value, gradient = objective(x + a * direction)
-            seen[a] = value, float(direction @ np.asarray(gradient))
-        return seen[a]
+    def trial(step: float) -> tuple[float, float, float]:
+        value, gradient = objective(x + step * direction)
+        return step, float(value), float(direction @ np.asarray(gradient, float))
 
-    start, slope = at(0.0)
+    _, start, slope = best = trial(0.0)
     if slope >= 0:
         return 1.0
-    too_high = lambda a: at(a)[0] > start + DECREASE * a * slope
-    flat = lambda a: abs(at(a)[1]) <= -CURVATURE * slope
-
-    def between(low: float, high: float) -> float:
-        middle = (low + high) / 2
-        for _ in range(501):
-            if abs(high - low) < 1e-5:
-                break
-            if too_high(middle) or at(middle)[0] >= at(low)[0]:
-                high = middle
-            elif flat(middle):
-                break
-            elif at(middle)[1] * (high - low) >= 0:
-                low, high = middle, low
-            else:
-                low = middle
-            middle = (low + high) / 2
-        return middle
-
-    a = 1.0
-    for k in range(201):
-        if k and (too_high(a) or at(a)[0] >= at(a / 2)[0]):
-            return between(a / 2, a)
-        if too_high(a):
-            return between(0.0, a)
-        if flat(a):
-            return a
-        if at(a)[1] >= 0:
-            return between(a, a / 2)
-        a *= 2
-    return a
+    other, step = None, first
+    for _ in range(tries):
+        step, value, steep = now = trial(step)
+        if not value <= start + DECREASE * step * slope or (best[0] > 0 and value >= best[1]):
+            other = now
+        elif abs(steep) <= CURVATURE * -slope:
+            return step
+        else:
+            # Lower than the best one so far: the minimum lies to the side that the slope falls to.
+            if steep * ((other[0] if other else np.inf) - step) >= 0:
+                other = best
+            best = now
+        if other is None:
+            step = 2.5 * step
+            continue
+        width = other[0] - best[0]
+        if abs(width) <= 1e-12 * max(1.0, abs(best[0])):
+            break
+        step = _cubic_minimum(*best, *other)
+        if not 0.1 <= (step - best[0]) / width <= 0.9:
+            step = best[0] + width / 2
+    return best[0] or step
 
 
 def bfgs(objective: Objective, x: np.ndarray, stop: Stop = Stop()) -> np.ndarray:
-    """The minimum by quasi-Newton steps; the first round only scales the identity."""
+    """The minimum by quasi-Newton steps (Nocedal and Wright, algorithm 6.1).
+
+    The inverse Hessian starts as the identity, scaled by the first step's curvature before its first update. Pairs
+    without positive curvature leave it as it is.
+    """
     x = np.asarray(x, float)
-    inverse, gradient = np.eye(len(x)), np.asarray(objective(x)[1], float)
-    for k in range(stop.rounds + 2):
-        direction = -(inverse @ gradient)
-        after = x + line_search(objective, x, direction) * direction
-        slope = np.asarray(objective(after)[1], float)
-        step, change = after - x, slope - gradient
-        if k > stop.rounds or np.linalg.norm(slope) < stop.gradient or np.linalg.norm(step) < stop.step:
-            return after
-        if k == 0:
-            inverse = (change @ step) / (change @ change) * np.eye(len(x))
-        else:
-            # The rank-two update, multiplied out so that it takes no product of matrices.
-            p, moved = 1 / (change @ step), inverse @ change
-            inverse = inverse - p * (np.outer(step, moved) + np.outer(moved, step)) + (p * p * (change @ moved) + p) * np.outer(step, step)
-        x, gradient = after, slope
+    gradient = np.asarray(objective(x)[1], float)
+    inverse, scaled, done = np.eye(len(x)), False, 0
+    while np.linalg.norm(gradient) >= stop.gradient and done < stop.rounds:
+        step = line_search(objective, x, -inverse @ gradient) * (-inverse @ gradient)
+        x, done = x + step, done + 1
+        change = -gradient
+        gradient = np.asarray(objective(x)[1], float)
+        change += gradient
+        if np.linalg.norm(step) < stop.step:
+            break
+        curvature = float(change @ step)
+        if curvature <= 0:
+            continue
+        if not scaled:
+            inverse, scaled = curvature / float(change @ change) * inverse, True
+        # The rank-two update, multiplied out so that it takes no product of matrices.
+        moved = inverse @ change
+        across = np.outer(step, moved)
+        inverse = inverse - (across + across.T) / curvature + (1 + float(change @ moved) / curvature) / curvature * np.outer(step, step)
     return x
 
 
