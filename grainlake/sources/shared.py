@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the cluster; only where that is unset (tests, a laptop) a temporary folder is
-    made and set for the session."""
+    """``spark.checkpoint.dir`` of the session. Where that is unset a local session (tests, a laptop) gets a temporary
+    folder; a cluster gets an error, as its executors wouldn't see the driver's folder."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         named = context.getCheckpointDir()
     return named
@@ -27,9 +29,19 @@ def new_path(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
-    It cuts lineage, and its rows outlive any executor. The folder belongs to whoever set
-    ``spark.checkpoint.dir``; tables stay there, as the returned frame reads them lazily.
+    It cuts lineage, and its rows outlive any executor. The table stays until ``discard`` takes it away, as the
+    returned frame reads it lazily.
     """
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._table_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` returned and that nothing reads any more, wherever the folder is."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._table_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
