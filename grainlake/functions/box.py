@@ -115,6 +115,10 @@ class BoxMeta:
         """World coordinates of a voxel's lower corner."""
         return tuple(F.lit(o) + F.lit(s) * (p.cast("double") - 0.5) for o, s, p in zip(self.world, self.spacing, (x, y, z)))
 
+    def base_of(self, vid: Column) -> tuple[Column, Column, Column]:
+        """World coordinates of the lower corner of a voxel with a serial number."""
+        return self.base(*self.position(vid))
+
     def centre(self, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
         return tuple(F.lit(o) + F.lit(s) * p.cast("double") for o, s, p in zip(self.world, self.spacing, (x, y, z)))
 
@@ -126,3 +130,24 @@ class BoxMeta:
     def displaced(self, axis: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
         """A voxel's lower corner, one spacing further along an axis."""
         return tuple(b + F.when(axis == k, F.lit(s)).otherwise(F.lit(0.0)) for k, (b, s) in enumerate(zip(self.base(x, y, z), self.spacing)))
+
+
+Triple = tuple[Column, Column, Column]
+
+
+def add(a: Triple, b: Triple) -> Triple:
+    return tuple(p + q for p, q in zip(a, b))
+
+
+def subtract(a: Triple, b: Triple) -> Triple:
+    return tuple(p - q for p, q in zip(a, b))
+
+
+def scale(a: Triple, s: Column | int) -> Triple:
+    return tuple(p * s for p in a)
+
+
+def divide(a: Triple, b: Triple) -> tuple[Triple, Triple]:
+    """Quotients, cut towards 0, and remainders, with the sign of what is divided; null where the divisor is 0."""
+    quotient = lambda p, q: F.when(q != 0, F.signum(p) * F.signum(q) * F.floor(F.abs(p) / F.abs(q))).cast("long")
+    return tuple(quotient(p, q) for p, q in zip(a, b)), tuple(F.when(q != 0, p % q).cast("long") for p, q in zip(a, b))

@@ -14,10 +14,16 @@ from .box import BoxMeta
 Triple = tuple[Column, Column, Column]
 
 # The corners of a face as a renderer and as the geometry orders them (they differ on the y axis),
-# as steps from the voxel's lower corner; and the unit steps of the twelve diagonals, by pair of axes.
+# as steps from the voxel's lower corner.
 FACE_CELL = {0: ((0, 0, 0), (0, 1, 0), (0, 1, 1), (0, 0, 1)), 1: ((0, 0, 0), (1, 0, 0), (1, 0, 1), (0, 0, 1)), 2: ((0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0))}
 FACE_LOOP = {0: FACE_CELL[0], 1: ((0, 0, 0), (0, 0, 1), (1, 0, 1), (1, 0, 0)), 2: FACE_CELL[2]}
-DIAGONALS = {(a, b): [tuple(s if k == a else t if k == b else 0 for k in range(3)) for s in (1, -1) for t in (1, -1)] for a, b in ((0, 1), (0, 2), (1, 2))}
+# Crossing directions in the order of their codes, 0 to 11: a step forward on the axis named first and one forward
+# (plus) or back (minus) on the other.
+CROSSINGS = {
+    "XYplus": (1, 1, 0), "XYminus": (1, -1, 0), "XZplus": (1, 0, 1), "XZminus": (1, 0, -1),
+    "YXplus": (1, 1, 0), "YXminus": (-1, 1, 0), "YZplus": (0, 1, 1), "YZminus": (0, 1, -1),
+    "ZXplus": (1, 0, 1), "ZXminus": (-1, 0, 1), "ZYplus": (0, 1, 1), "ZYminus": (0, -1, 1),
+}
 
 
 def _odd(p: Column) -> Column:
@@ -113,3 +119,24 @@ def intersection(plane: Triple, normal: Triple, point: Triple, direction: Triple
 def edge_ends(box: BoxMeta, axis: Column, x: Column, y: Column, z: Column) -> tuple[Triple, Triple]:
     """World points at the ends of an edge."""
     return box.base(x, y, z), box.displaced(axis, x, y, z)
+
+
+def crossing(name: str, x: Column, y: Column, z: Column) -> Triple:
+    """The position a crossing step away."""
+    return tuple(p + s for p, s in zip((x, y, z), CROSSINGS[name]))
+
+
+def crossing_code(name: Column) -> Column:
+    """The code of a crossing direction; null for other names."""
+    return F.array_position(F.array(*map(F.lit, CROSSINGS)), name).cast("int") - 1
+
+
+def crossing_name(code: Column) -> Column:
+    """The crossing direction with a code; null for numbers that are none."""
+    return F.get(F.array(*map(F.lit, CROSSINGS)), code)
+
+
+def crossings(axis: int, x: Column, y: Column, z: Column) -> Column:
+    """The four crossing steps forward on an axis, as an array of structs ``code, x, y, z``."""
+    mine = [(k, n) for k, n in enumerate(CROSSINGS) if n[0] == "XYZ"[axis]]
+    return F.array(*(F.struct(F.lit(k).alias("code"), *(p.cast("int").alias(a) for p, a in zip(crossing(n, x, y, z), "xyz"))) for k, n in mine))

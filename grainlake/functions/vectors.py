@@ -39,8 +39,22 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def binary_search(values: Column, x: Column) -> Column:
-    """Where x is in a sorted array or, if it isn't there, belongs, at most the last place; 0 in an empty one."""
-    return F.greatest(F.lit(0), F.least(F.size(F.filter(values, lambda v: v < x)), F.size(values) - 1))
+    """Where x is in a sorted array or, if it isn't there, belongs, at most the last place; 0 in an empty one.
+
+    The stretch that is left is halved as often as the array's length has binary digits.
+    """
+    first = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)) + 1)).cast("int"))
+
+    def halved(left: Column, _: Column) -> Column:
+        low, high = left["low"], left["high"]
+        middle = F.shiftright(low + high, 1)
+        below = F.get(values, middle) < x
+        open_ = low < high
+        return F.struct(F.when(open_ & below, middle + 1).otherwise(low).alias("low"), F.when(open_ & ~below, middle).otherwise(high).alias("high"))
+
+    found = F.aggregate(halvings, first, halved, lambda left: left["low"])
+    return F.greatest(F.lit(0), F.least(found, F.size(values) - 1))
 
 
 def shuffle(values: Column, seed: int) -> Column:

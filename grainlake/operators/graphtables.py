@@ -1,16 +1,25 @@
 """Upserts, links and lookups on the tables of a topology, whose rows are ``id, prop, conn``.
 
-``prop`` is null for an element that is known only as the other end of a link.
+``prop`` is null for an element that is known only as the other end of a link. ``conn`` are the elements of the level
+above that lie on it: a vertex is linked from its edges, an edge from its faces, a face from its grains.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LEVELS = ("grains", "faces", "edges", "vertices")
+from grainlake.operators.topology import FIRST_ALTER
+
+#: The level below each level, whose elements hold its links.
+BELOW = {"vertex": "edge", "edge": "face", "face": "grain"}
+#: Types of the ids of each level.
+FACE_ID = "struct<hi:bigint,lo:bigint,alter:int>"
+EDGE_ID = f"struct<multi:boolean,faces:array<{FACE_ID}>,alter:int>"
+VERTEX_ID = "struct<multi:boolean,grains:array<bigint>,alter:int>"
+ID_TYPES = {"grain": "bigint", "face": FACE_ID, "edge": EDGE_ID, "vertex": VERTEX_ID}
 
 
 def empty_level(spark: SparkSession, id_type: str = "long", prop_type: str = "string", conn_type: str = "long") -> DataFrame:
@@ -57,3 +66,78 @@ def with_prop(level: DataFrame) -> DataFrame:
 
 def get(level: DataFrame, ids: DataFrame) -> DataFrame:
     return level.join(ids.select(F.col("id").alias("_id")), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def empty_graph(spark: SparkSession, prop_type: str = "string") -> dict[str, DataFrame]:
+    """The four levels without elements."""
+    above = {low: ID_TYPES[high] for high, low in BELOW.items()}
+    return {kind: empty_level(spark, ID_TYPES[kind], prop_type, above.get(kind, "bigint")) for kind in ID_TYPES}
+
+
+def new_elements(rows: DataFrame, conn_type: str = "bigint") -> DataFrame:
+    """``id, prop, conn`` of ``rows(id, prop)``, without links; null properties are elements known as ends of links."""
+    return rows.select("id", "prop", F.array().cast(f"array<{conn_type}>").alias("conn"))
+
+
+def ids(level: DataFrame) -> DataFrame:
+    """``id`` of all elements, with a property or not."""
+    return level.select("id")
+
+
+def get_links(level: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, conn`` of ``wanted(id)``, of elements without a property too."""
+    return get(level, wanted).select("id", "conn")
+
+
+def get_both(level: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, prop, conn`` of ``wanted(id)`` that have a property."""
+    return with_prop(get(level, wanted))
+
+
+def alter(level: DataFrame, rows: DataFrame, change: Callable[[Column, Column], Column]) -> DataFrame:
+    """Put ``change(old, new)`` in place of the properties of ``rows(id, prop)``, where ``old`` is null for what isn't
+    there yet; elements for which it gives null are deleted with their links. Ids are given once."""
+    new = rows.select(F.col("id").alias("_id"), F.col("prop").alias("_new"), F.lit(True).alias("_given"))
+    joined = level.join(new, F.col("id").eqNullSafe(F.col("_id")), "full_outer")
+    prop = F.when(F.col("_given").isNull(), F.col("prop")).otherwise(change(F.col("prop"), F.col("_new")))
+    conn = F.coalesce("conn", F.array().cast(level.schema["conn"].dataType))
+    kept = joined.select(F.coalesce("id", "_id").alias("id"), prop.alias("prop"), conn.alias("conn"), "_given")
+    return kept.where("_given is null or prop is not null").drop("_given")
+
+
+def unique_ids(level: DataFrame, rows: DataFrame, kind: str, order: str = "seq") -> DataFrame:
+    """``rows(id, seq, ...)`` with ids that nothing else has: an id that the level or an earlier row has gets the next
+    alternative index of its kind that is free, as if rows were inserted one after another.
+
+    Alternatives of an id have numbers, none 0, the first 1 and so on. The r-th free number, from 0, is r more than
+    there are taken numbers before it: those that, less the taken ones before them, aren't above r.
+    """
+    first = FIRST_ALTER[kind]
+    base = lambda c: F.struct(*(F.col(f"{c}.{f}").alias(f) for f in rows.schema["id"].dataType.names if f != "alter"))
+    number = F.coalesce(F.col("id.alter") - (first - 1), F.lit(0))
+    taken = level.join(rows.select(base("id").alias("_b")).distinct(), base("id").eqNullSafe(F.col("_b")), "left_semi")
+    taken = taken.groupBy(base("id").alias("_base")).agg(F.array_sort(F.collect_set(number)).alias("_taken"))
+    turn = F.row_number().over(Window.partitionBy("_mine").orderBy(order)) - 1
+    placed = rows.withColumn("_mine", base("id")).withColumn("_turn", turn).join(taken, F.col("_mine").eqNullSafe(F.col("_base")), "left")
+    before = F.size(F.filter(F.transform(F.coalesce("_taken", F.array().cast("array<int>")), lambda t, k: t - k), lambda free: free <= F.col("_turn")))
+    slot = F.col("_turn") + before
+    alternative = F.when(slot > 0, slot + (first - 1)).cast("int")
+    fields = [F.col(f"id.{f}") if f != "alter" else alternative.alias("alter") for f in rows.schema["id"].dataType.names]
+    return placed.withColumn("id", F.struct(*fields)).drop("_mine", "_turn", "_base", "_taken")
+
+
+def insert_new(graph: dict[str, DataFrame], kind: str, rows: DataFrame) -> dict[str, DataFrame]:
+    """The graph with new elements ``rows(id, prop, seq)`` of a kind, under ids that nothing else has, and linked from
+    the level below: a face from its two grains, an edge or a vertex from the ids in the array ``below`` of its row.
+
+    Ends of links that the level below hasn't appear there without a property. New grains replace those with their
+    ids, links included.
+    """
+    if kind == "grain":
+        return graph | {kind: replace_elements(graph[kind], rows)}
+    placed = unique_ids(graph[kind], rows, kind)
+    below = F.array("id.hi", "id.lo") if kind == "face" else F.col("below")
+    links = placed.select(F.explode(below).alias("id"), F.col("id").alias("other"))
+    added = graph[kind].unionByName(placed.select("id", "prop", F.array().cast(graph[kind].schema["conn"].dataType).alias("conn")))
+    low = BELOW[kind]
+    return graph | {kind: added, low: connect(graph[low], links)}

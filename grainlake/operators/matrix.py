@@ -10,6 +10,54 @@ from pyspark.sql import functions as F
 Shape = tuple[int, int]
 
 
+def size(shape: tuple[int, ...]) -> int:
+    """Cells of a shape of two or three extents."""
+    out = 1
+    for extent in shape:
+        out *= extent
+    return out
+
+
+def position(shape: tuple[int, ...], *at: Column) -> Column:
+    """The serial number of a cell, first index fastest."""
+    out, width = F.lit(0).cast("long"), 1
+    for index, extent in zip(at, shape):
+        out, width = out + index.cast("long") * width, width * extent
+    return out
+
+
+def indices(shape: tuple[int, ...], number: Column) -> tuple[Column, ...]:
+    """The indices of a serial number."""
+    out, width = [], 1
+    for k, extent in enumerate(shape):
+        whole = F.floor(number / width)
+        out.append((whole if k == len(shape) - 1 else whole % extent).cast("int"))
+        width *= extent
+    return tuple(out)
+
+
+def places(spark: SparkSession, shape: tuple[int, ...]) -> DataFrame:
+    """``pos`` and the indices ``i, j`` (and ``k``) of all cells of a shape."""
+    return spark.range(size(shape)).select(F.col("id").alias("pos"), *(c.alias(n) for c, n in zip(indices(shape, F.col("id")), "ijk")))
+
+
+def at(a: DataFrame, cells: DataFrame, shape: Shape) -> DataFrame:
+    """``cells(i, j, ...)`` with the ``val`` there, 0 where the matrix has none; cells outside of the shape are errors."""
+    outside = ~(F.col("i").between(0, shape[0] - 1) & F.col("j").between(0, shape[1] - 1))
+    found = cells.join(a.select("i", "j", "val"), ["i", "j"], "left")
+    return found.withColumn("val", F.when(outside, F.raise_error(F.lit(f"a cell outside of {shape}")).cast("double")).otherwise(F.coalesce("val", F.lit(0.0))))
+
+
+def zero() -> DataFrame:
+    """An error, as a zero needs a shape: see ``zeros``."""
+    raise ValueError("a zero matrix needs a shape: zeros(spark, shape)")
+
+
+def one() -> DataFrame:
+    """An error, as a one needs a size: see ``identity``."""
+    raise ValueError("an identity matrix needs a size: identity(spark, n)")
+
+
 def generate(spark: SparkSession, shape: Shape, value: Callable[[Column, Column], Column]) -> DataFrame:
     n = F.col("id")
     i, j = (n % shape[0]).cast("int"), F.floor(n / shape[0]).cast("int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainlake.functions.box import AXES, BoxMeta
@@ -17,6 +17,16 @@ def make(cells: DataFrame, box: BoxMeta) -> DataFrame:
     return cells.select(*AXES, "value").where(box.inside(*_at()))
 
 
+def empty(spark: SparkSession, origin: tuple[int, int, int], dim: tuple[int, int, int] = (1, 1, 1), value_type: str = "int") -> tuple[DataFrame, BoxMeta]:
+    """A box without cells, by default of one place."""
+    return spark.createDataFrame([], f"x int, y int, z int, value {value_type}"), BoxMeta(dim, origin)
+
+
+def singleton(spark: SparkSession, origin: tuple[int, int, int], value, value_type: str = "int") -> tuple[DataFrame, BoxMeta]:
+    """A box of one place, which has a value."""
+    return spark.createDataFrame([(*origin, value)], f"x int, y int, z int, value {value_type}"), BoxMeta((1, 1, 1), origin)
+
+
 def lookup(cells: DataFrame, points: DataFrame) -> DataFrame:
     """``points`` with their ``value``, null where there is no cell."""
     return points.join(cells.select(*AXES, "value"), list(AXES), "left")

@@ -25,19 +25,36 @@ FIRST_ALTER = {"face": 3, "edge": 333, "vertex": 666}
 
 @dataclass
 class Topology:
-    """Tables of the four levels; ``prop`` holds the lattice places or, for grains, is in the grid's labels.
+    """Tables of the four levels, of the links from each to the one above, and of the lattice units.
 
-    ``grains(grain_id, faces)``, ``faces(face, edges, area, prop)``, ``edges(edge, state, vertices, prop)``,
-    ``vertices(vertex, vid, x, y, z)``; units are the lattice elements with the entity that they belong to.
+    ``grains(grain_id)``, ``faces(face, area)``, ``edges(edge, state, n_vertices)``, ``vertices(vid, x, y, z, vertex,
+    incident)``; ``grain_faces(grain_id, face)``, ``face_edges(face, edge)``, ``edge_vertices(edge, vid, vertex)``, a row
+    a link; ``unit_faces`` and ``unit_edges``, a row a lattice place with the entity that it belongs to. A face between
+    two large grains is many rows and never one.
     """
 
     grains: DataFrame
     faces: DataFrame
     edges: DataFrame
     vertices: DataFrame
+    grain_faces: DataFrame
+    face_edges: DataFrame
+    edge_vertices: DataFrame
     unit_faces: DataFrame
     unit_edges: DataFrame
 
+    def nested(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Grains, faces and edges with their links as sorted arrays, for levels whose elements have few."""
+        faces = _with_links(self.grains, self.grain_faces, "grain_id", "face", "faces")
+        edges = _with_links(self.faces, self.face_edges, "face", "edge", "edges")
+        return faces, edges, _with_links(self.edges, self.edge_vertices, "edge", "vertex", "vertices")
+
+
+def _with_links(level: DataFrame, links: DataFrame, key: str, other: str, name: str) -> DataFrame:
+    listed = links.groupBy(key).agg(F.array_sort(F.collect_list(other)).alias(name))
+    none = F.array().cast(listed.schema[name].dataType)
+    return _join_on(level, listed, key).withColumn(name, F.coalesce(name, none))
+
 
 def lattice_key(box: BoxMeta) -> Column:
     """The serial number of a doubled-lattice place."""
@@ -107,6 +124,19 @@ def unit_edges(faces: DataFrame, box: BoxMeta) -> DataFrame:
     return out.withColumn("key", lattice_key(box))
 
 
+def make_id(members: Column, least: int) -> Column:
+    """The id of an edge (of at least 3 faces) or a vertex (of at least 4 grains): the distinct members in descending
+    order, whether there are more than needed (``multi``), and no alternative index; null of too few."""
+    once = F.array_distinct(members)
+    made = F.struct((F.size(once) > least).alias("multi"), F.sort_array(once, asc=False).alias("members"), F.lit(None).cast("int").alias("alter"))
+    return F.when(F.size(once) >= least, made)
+
+
+def next_alter(alter: Column, kind: str) -> Column:
+    """The alternative index that follows one; of none the first of its kind."""
+    return F.when(alter.isNull(), F.lit(FIRST_ALTER[kind])).otherwise(alter + 1)
+
+
 def edge_entities(units: DataFrame) -> DataFrame:
     """``unit_edges`` with ``entity``, ``alter`` and the struct ``edge``."""
     return _entities(units, "edge", ["multi", "faces"]).withColumn("edge", F.struct("multi", "faces", "alter"))
@@ -137,21 +167,15 @@ def vertices(labels: DataFrame, edges: DataFrame, box: BoxMeta) -> DataFrame:
 STATES = ("dummy", "half", "full")
 
 
-def edge_states(edges: DataFrame, found: DataFrame) -> DataFrame:
-    """``edge, state, vertices, prop`` of every edge entity: dummy, half, full or, from three vertices on, bad."""
-    met = found.select("vid", "vertex", F.explode("incident").alias("edge")).groupBy("edge").agg(F.array_sort(F.collect_list(F.struct("vid", "vertex"))).alias("_met"))
-    places = edges.groupBy("edge").agg(F.array_sort(F.collect_list(F.struct(*H))).alias("prop"))
-    joined = _join_on(places, met, "edge")
-    n = F.coalesce(F.size("_met"), F.lit(0))
-    state = F.when(n > 2, F.lit("bad"))
+def edge_states(edges: DataFrame, met: DataFrame) -> DataFrame:
+    """``edge, state, n_vertices`` of every edge entity, by its rows in ``met(edge, vid, vertex)``: dummy, half, full or,
+    from three vertices on, bad."""
+    counts = met.groupBy("edge").agg(F.count("*").alias("n_vertices"))
+    joined = _join_on(edges.select("edge").distinct(), counts, "edge").withColumn("n_vertices", F.coalesce("n_vertices", F.lit(0)).cast("long"))
+    state = F.when(F.col("n_vertices") > 2, F.lit("bad"))
     for k, name in enumerate(STATES):
-        state = state.when(n == k, F.lit(name))
-    listed = F.coalesce(F.transform("_met", lambda m: m["vertex"]), F.array().cast(_array_of(found, "vertex")))
-    return joined.select("edge", state.alias("state"), listed.alias("vertices"), "prop")
-
-
-def _array_of(df: DataFrame, column: str) -> str:
-    return f"array<{df.schema[column].dataType.simpleString()}>"
+        state = state.when(F.col("n_vertices") == k, F.lit(name))
+    return joined.select("edge", state.alias("state"), "n_vertices")
 
 
 def _join_on(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -183,10 +207,8 @@ def build(labels: DataFrame, box: BoxMeta, everywhere: bool = False) -> Topology
     units = materialise(face_entities(unit_faces(labels, box)), "unit-faces")
     lines = materialise(edge_entities(unit_edges(units, box)), "unit-edges")
     points = materialise(vertices(labels, lines, box), "vertices")
-    of_grain = units.select("face", F.explode(F.array("hi", "lo")).alias("grain_id")).distinct().groupBy("grain_id").agg(F.collect_set("face").alias("faces"))
-    grains = labels.select(F.col("label").alias("grain_id")).distinct().join(of_grain, "grain_id", "left")
-    grains = grains.withColumn("faces", F.coalesce("faces", F.array().cast(_array_of(of_grain, "faces").removeprefix("array<").removesuffix(">"))))
-    links = face_edge_links(units, lines, points, everywhere).groupBy("face").agg(F.collect_set("edge").alias("edges"))
-    areas = units.groupBy("face").agg(F.count("*").alias("area"), F.array_sort(F.collect_list(F.struct(*H))).alias("prop"))
-    faces = _join_on(areas, links, "face")
-    return Topology(grains, faces, edge_states(lines, points), points, units, lines)
+    of_grain = units.select("face", F.explode(F.array("hi", "lo")).alias("grain_id")).distinct()
+    met = points.select("vid", "vertex", F.explode("incident").alias("edge")).select("edge", "vid", "vertex")
+    grains = labels.select(F.col("label").alias("grain_id")).distinct()
+    faces = units.groupBy("face").agg(F.count("*").alias("area"))
+    return Topology(grains, faces, edge_states(lines, met), points, of_grain, face_edge_links(units, lines, points, everywhere), met, units, lines)

@@ -5,14 +5,15 @@ The grid has 24 by 16 by 8 voxels; a voxel's value is how many lines of ``lineit
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainlake.functions import lattice, vectors
+from grainlake.functions import box, lattice, vectors
 from grainlake.functions.box import AXES, BoxMeta
 from grainlake.operators import clustering, grains, graphtables, matrix, optimum, segments, sparse, topology
 from grainlake.sources import grids, vtk
-from grainlake.sources.shared import materialise
+from grainlake.sources.shared import materialise, new_path
 
 BOX = BoxMeta((24, 16, 8), world=(1.0, -2.0, 0.5), spacing=(0.5, 0.25, 2.0))
 INNER = BoxMeta((10, 8, 4), (4, 4, 2))
@@ -288,7 +289,7 @@ def face_entities(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {E_}, d AS (SELECT hi AS g, entity FROM faces UNION SELECT lo, entity FROM faces) SELECT label::BIGINT AS grain_id, count(entity) AS faces FROM (SELECT DISTINCT label FROM labels) LEFT JOIN d ON g = label GROUP BY label")
 def grain_face_degree(spark, sf_dir):
-    return _built(spark, sf_dir).grains.select("grain_id", F.size("faces").cast("long").alias("faces"))
+    return _built(spark, sf_dir).nested()[0].select("grain_id", F.size("faces").cast("long").alias("faces"))
 
 
 @query(f"WITH RECURSIVE {G} SELECT key::BIGINT AS key, axis, hx, hy, hz, multi, len(es) AS n_faces FROM unit_edges")
@@ -313,7 +314,7 @@ def vertices(spark, sf_dir):
     " SELECT CASE n WHEN 0 THEN 'dummy' WHEN 1 THEN 'half' WHEN 2 THEN 'full' ELSE 'bad' END AS state, n AS vertices, count(*) AS edges FROM c GROUP BY ALL"
 )
 def edge_states(spark, sf_dir):
-    return _built(spark, sf_dir).edges.groupBy("state", F.size("vertices").cast("long").alias("vertices")).agg(F.count("*").alias("edges"))
+    return _built(spark, sf_dir).edges.groupBy("state", F.col("n_vertices").alias("vertices")).agg(F.count("*").alias("edges"))
 
 
 @query(
@@ -322,7 +323,7 @@ def edge_states(spark, sf_dir):
     " SELECT hi::BIGINT AS hi, lo::BIGINT AS lo, alter::INT AS alter, count(l.edge) AS edges FROM (SELECT DISTINCT entity, hi, lo, alter FROM faces) f LEFT JOIN links l ON l.face = f.entity GROUP BY hi, lo, alter"
 )
 def face_edge_links(spark, sf_dir):
-    return _built(spark, sf_dir).faces.select("face.hi", "face.lo", "face.alter", F.coalesce(F.size("edges"), F.lit(0)).cast("long").alias("edges"))
+    return _built(spark, sf_dir).nested()[1].select("face.hi", "face.lo", "face.alter", F.size("edges").cast("long").alias("edges"))
 
 
 @query(
@@ -466,13 +467,329 @@ def mcl_one_round(spark, sf_dir):
     return clustering.step(clustering.normalise(clustering.from_edges(edges))).withColumn("val", F.round("val", 9))
 
 
-@query()
+@query(
+    "WITH e AS (SELECT DISTINCT s_suppkey AS src, s_suppkey // 5 * 5 AS dst FROM supplier WHERE s_suppkey % 5 <> 0)"
+    " SELECT id::BIGINT AS id, (id // 5 * 5)::BIGINT AS cluster FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)"
+)
 def mcl_clusters(spark, sf_dir):
     k = F.col("s_suppkey")
     edges = _table(spark, sf_dir, "supplier").select(k.alias("src"), (F.floor(k / 5) * 5).cast("long").alias("dst"))
     return clustering.markov_cluster(edges)
 
 
-@query()
+@query("SELECT 0.2::DOUBLE AS downhill, 1.0::DOUBLE AS uphill")
+def line_search_steps(spark, sf_dir):
+    bowl = lambda v: (float(v @ v), 2 * v)
+    at = np.array([1.0, 0.0])
+    down, up = (optimum.line_search(bowl, at, np.array(d)) for d in ([-4.0, -2.0], [1.0, 0.0]))
+    return spark.createDataFrame([(round(down, 9), up)], "downhill double, uphill double")
+
+
+def _numbered_segments(spark, sf_dir) -> DataFrame:
+    """Segments k to k+1 in nines, every third one turned; in even nines a ninth one closes the loop."""
+    k = F.col("o_orderkey")
+    kept = _table(spark, sf_dir, "orders").where((k % 9 != 8) | (F.floor(k / 9) % 2 == 0))
+    ends = (k, F.when(k % 9 == 8, k - 8).otherwise(k + 1))
+    turned = k % 3 == 1
+    made = kept.select(k.alias("idx"), F.when(turned, ends[1]).otherwise(ends[0]).alias("head"), F.when(turned, ends[0]).otherwise(ends[1]).alias("tail"))
+    full = made.groupBy(F.floor(F.col("idx") / 9).alias("g")).agg(F.count("*").alias("n")).where(F.col("n") == 8 + (F.col("g") % 2 == 0).cast("int"))
+    return made.join(full, F.floor(F.col("idx") / 9) == F.col("g")).drop("g", "n")
+
+
+ORDERED = f"""WITH {S}, c AS (SELECT idx // 9 AS g, count(*) AS n FROM s GROUP BY 1), o AS (
+  SELECT (g * 9)::BIGINT AS seq, CASE WHEN n = 9 THEN 'loop' ELSE 'open' END AS kind, (idx - g * 9)::INT AS pos, idx, head, tail
+  FROM s JOIN c ON idx // 9 = g WHERE n = 8 + ((g % 2) = 0)::INT)"""
+
+
+@query(f"{ORDERED} SELECT * FROM o")
+def segments_order(spark, sf_dir):
+    return segments.sort_segments(_numbered_segments(spark, sf_dir))
+
+
+@query(f"{ORDERED} SELECT seq, idx FROM o WHERE kind = 'open'")
+def segments_open(spark, sf_dir):
+    return segments.opens(segments.sort_segments(_numbered_segments(spark, sf_dir))).select("seq", "idx")
+
+
+@query(f"{ORDERED} SELECT seq, idx FROM o WHERE kind = 'loop'")
+def segments_loops(spark, sf_dir):
+    return segments.loops(segments.sort_segments(_numbered_segments(spark, sf_dir))).select("seq", "idx")
+
+
+@query(f"{ORDERED} SELECT * FROM o")
+def segments_tolerance(spark, sf_dir):
+    # The ends of turned segments lie a little below the others'.
+    moved = lambda c: F.col(c) - F.when(F.col("idx") % 3 == 1, 0.009).otherwise(0.0)
+    made = _numbered_segments(spark, sf_dir).select("idx", moved("head").alias("head"), moved("tail").alias("tail"))
+    return segments.sort_segments(made, tolerance=0.01).withColumns({c: F.round(c).cast("long") for c in ("head", "tail")})
+
+
+# Export
+
+
+FACE_CELL_SQL = "CASE axis WHEN 0 THEN [o, o + 25, o + 450, o + 425] WHEN 1 THEN [o, o + 1, o + 426, o + 425] ELSE [o, o + 1, o + 26, o + 25] END::BIGINT[]"
+PLACE_SQL = "(hx + 1) // 2 + 25 * ((hy + 1) // 2) + 425 * ((hz + 1) // 2) AS o"
+
+
+@query(f"WITH RECURSIVE {E_}, c AS (SELECT *, {PLACE_SQL}, dense_rank() OVER (ORDER BY hi, lo, alter NULLS FIRST) AS color FROM faces) SELECT color, key::BIGINT AS key, {FACE_CELL_SQL} AS corners FROM c")
 def vtk_face_cells(spark, sf_dir):
-    return vtk.cells(vtk.element_rows(_built(spark, sf_dir).faces, "face"), BOX, "face")
+    return vtk.cells(vtk.element_rows(_built(spark, sf_dir).unit_faces, "face"), BOX, "face")
+
+
+@query(
+    f"WITH RECURSIVE {G}, c AS (SELECT *, {PLACE_SQL}, row_number() OVER (ORDER BY key) - 1 AS color FROM unit_edges)"
+    " SELECT color, key::BIGINT AS key, [o, o + CASE axis WHEN 0 THEN 1 WHEN 1 THEN 25 ELSE 425 END]::BIGINT[] AS corners FROM c"
+)
+def vtk_edge_list(spark, sf_dir):
+    return vtk.cells(vtk.element_list_rows(_built(spark, sf_dir).unit_edges), BOX, "edge")
+
+
+@query(f"WITH RECURSIVE {L} SELECT dense_rank() OVER (ORDER BY label) AS color, vid::BIGINT AS key, [x + 25 * y + 425 * z]::BIGINT[] AS corners FROM grid")
+def vtk_grain_points(spark, sf_dir):
+    return vtk.cells(vtk.grain_rows(_labels(spark, sf_dir)), BOX, "voxel")
+
+
+@query(f"WITH RECURSIVE {G} SELECT row_number() OVER (ORDER BY vid) - 1 AS color, vid::BIGINT AS key, [x + 25 * y + 425 * z]::BIGINT[] AS corners FROM vertices")
+def vtk_vertex_points(spark, sf_dir):
+    return vtk.cells(vtk.vertex_rows(_built(spark, sf_dir).vertices), BOX, "voxel")
+
+
+@query(
+    "WITH a AS (SELECT unnest(range(25 * 17 * 9)) AS vid) SELECT vid, 1.0 + 0.5 * (vid % 25 - 0.5::DOUBLE) AS px, -2.0 + 0.25 * ((vid // 25) % 17 - 0.5::DOUBLE) AS py,"
+    " 0.5 + 2.0 * (vid // 425 - 0.5::DOUBLE) AS pz FROM a"
+)
+def vtk_corner_points(spark, sf_dir):
+    return vtk.corner_points(spark, BOX)
+
+
+@query(f"WITH {V} SELECT vid::BIGINT AS vid, x, y, z, value FROM v")
+def codec_round_trip(spark, sf_dir):
+    path = new_path(spark, "codec")
+    grids.write_tables(path, grid=_grid(spark, sf_dir))
+    return grids.read_tables(spark, path, "grid")["grid"]
+
+
+# Positions, boxes and ids
+
+
+@query(
+    f"WITH {V}, d AS (SELECT * FROM (VALUES (0, 'XYplus', 1, 1, 0), (1, 'XYminus', 1, -1, 0), (2, 'XZplus', 1, 0, 1), (3, 'XZminus', 1, 0, -1), (4, 'YXplus', 1, 1, 0), (5, 'YXminus', -1, 1, 0),"
+    " (6, 'YZplus', 0, 1, 1), (7, 'YZminus', 0, 1, -1), (8, 'ZXplus', 1, 0, 1), (9, 'ZXminus', -1, 0, 1), (10, 'ZYplus', 0, 1, 1), (11, 'ZYminus', 0, -1, 1)) t(code, name, dx, dy, dz))"
+    " SELECT vid::BIGINT AS vid, code::INT AS code, name, (x + dx)::INT AS x, (y + dy)::INT AS y, (z + dz)::INT AS z FROM v CROSS JOIN d"
+)
+def crossing_positions(spark, sf_dir):
+    steps = F.concat(*(lattice.crossings(axis, *_xyz()) for axis in range(3)))
+    return _grid(spark, sf_dir).select("vid", F.inline(steps)).withColumn("name", lattice.crossing_name(F.col("code"))).where(lattice.crossing_code(F.col("name")) == F.col("code"))
+
+
+@query(
+    f"WITH {V}, t AS (SELECT vid, x, y, z, x - 7 AS p, y - 5 AS q, z - 3 AS r FROM v) SELECT vid::BIGINT AS vid, x + p AS ax, y - q AS sy, z * 3 AS mz,"
+    " CASE WHEN p <> 0 THEN trunc(x / p)::BIGINT END AS qx, CASE WHEN q <> 0 THEN trunc((y - 9) / q)::BIGINT END AS qy, CASE WHEN p <> 0 THEN (x % p)::BIGINT END AS rx, CASE WHEN q <> 0 THEN ((y - 9) % q)::BIGINT END AS ry FROM t"
+)
+def position_algebra(spark, sf_dir):
+    x, y, z = _xyz()
+    other = (x - 7, y - 5, z - 3)
+    sums, less, times = box.add((x, y, z), other), box.subtract((x, y, z), other), box.scale((x, y, z), 3)
+    quotients, rests = box.divide((x, y - 9, z), other)
+    return _grid(spark, sf_dir).select("vid", sums[0].alias("ax"), less[1].alias("sy"), times[2].alias("mz"), quotients[0].alias("qx"), quotients[1].alias("qy"), rests[0].alias("rx"), rests[1].alias("ry"))
+
+
+@query(
+    f"WITH {V}, b AS (SELECT vid, 1.0 + 0.5 * (x - 0.5::DOUBLE) AS bx, -2.0 + 0.25 * (y - 0.5::DOUBLE) AS y0, 0.5 + 2.0 * (z - 0.5::DOUBLE) AS bz FROM v)"
+    " SELECT vid::BIGINT AS vid, [bx, bx, bx + 0.5, bx + 0.5] AS face_x, [bz, bz + 2, bz + 2, bz] AS face_z, y0 + 0.25 AS end_y, bx AS start_x FROM b"
+)
+def face_loop_corners(spark, sf_dir):
+    corners = lattice.face_corners(BOX, 1, *_xyz())
+    start, end = lattice.edge_ends(BOX, F.lit(1), *_xyz())
+    base = BOX.base_of(F.col("vid"))
+    return _grid(spark, sf_dir).select("vid", F.array(*(c[0] for c in corners)).alias("face_x"), F.array(*(c[2] for c in corners)).alias("face_z"), end[1].alias("end_y"), base[0].alias("start_x")).where(start[0] == base[0])
+
+
+@query(
+    "SELECT * FROM (VALUES ('around', 0, 19, 0, 15, 0, 8), ('empty', 0, 0, 0, 0, 0, 0), ('first', 0, 11, 0, 15, 0, 7), ('second', 12, 23, 0, 15, 0, 7), ('merged', 0, 23, 0, 15, 0, 7), ('wall', 11, 12, 0, 15, 0, 7),"
+    " ('spanning', -3, 2, 1, 4, 0, 5), ('extended', 0, 24, 0, 16, 0, 8), ('lattice', 0, 46, 0, 30, 0, 14), ('z', 0, 3, 0, 3, 2, 3), ('minimal', 5, 5, 5, 5, 5, 5)) t(name, lx, ux, ly, uy, lz, uz)"
+)
+def box_algebra(spark, sf_dir):
+    """Boxes and their inclusive bounds."""
+    key = F.col("p_partkey")
+    points = _table(spark, sf_dir, "part").select((key % 20).cast("int").alias("x"), (key % 16).cast("int").alias("y"), (key % 9).cast("int").alias("z"))
+    first, second = BOX.split()
+    merged, _, wall = second.merge(first)
+    minimal = BoxMeta.spanning((5, 5, 5), (5, 5, 5))
+    boxes = {
+        "around": BoxMeta.around(points), "empty": BoxMeta.around(points.limit(0)), "first": first, "second": second, "merged": merged, "wall": wall,
+        "spanning": BoxMeta.spanning((2, 1, 5), (-3, 4, 0)), "extended": BOX.extended(), "lattice": BOX.lattice(), "z": BoxMeta((4, 4, 4)).split()[1],
+    } | ({"minimal": minimal} if minimal.minimal and minimal.split() is None else {})
+    return spark.createDataFrame([(n, *b.bounds) for n, b in boxes.items()], "name string, lx int, ux int, ly int, uy int, lz int, uz int")
+
+
+@query(
+    f"WITH RECURSIVE {V}, d AS (SELECT * FROM (VALUES (1, 1, 0), (0, 0, 1)) t(dx, dy, dz)),"
+    " joined AS (SELECT a.vid AS p, b.vid AS q FROM v a CROSS JOIN d JOIN v b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz AND a.value = b.value),"
+    " ways AS (SELECT p, q FROM joined UNION ALL SELECT q, p FROM joined),"
+    " reach(vid, other) AS (SELECT vid, vid FROM v UNION SELECT r.vid, j.q FROM reach r JOIN ways j ON r.other = j.p)"
+    " SELECT vid::BIGINT AS vid, min(other)::BIGINT AS label FROM reach GROUP BY vid"
+)
+def grain_labels_by_steps(spark, sf_dir):
+    return grains.find_grains(_grid(spark, sf_dir), steps=((1, 1, 0), (0, 0, 1))).select("vid", "label")
+
+
+@query(
+    f"WITH RECURSIVE {G}, e AS (SELECT key, unnest(es) AS entity FROM unit_edges), f AS (SELECT DISTINCT entity, hi, lo, alter FROM faces)"
+    " SELECT key::BIGINT AS key, (row_number() OVER (PARTITION BY key ORDER BY coalesce(alter, -1) DESC, hi DESC, lo DESC) - 1)::INT AS pos, hi::BIGINT AS hi, lo::BIGINT AS lo, alter::INT AS alter FROM e JOIN f USING (entity)"
+)
+def face_order(spark, sf_dir):
+    """The faces of each unit edge in the order of its id: alternatives first, then by index and pair, descending."""
+    return _built(spark, sf_dir).unit_edges.select("key", F.posexplode("faces").alias("pos", "face")).select("key", "pos", "face.*")
+
+
+@query(
+    "WITH m AS (SELECT o_orderkey, list_distinct([o_custkey % 5, o_orderkey % 5, o_custkey % 3, o_orderkey % 7]) AS g FROM orders)"
+    " SELECT o_orderkey, CASE WHEN len(g) >= 3 THEN list_reverse_sort(g)::BIGINT[] END AS members, CASE WHEN len(g) >= 3 THEN len(g) > 3 END AS multi, CASE WHEN o_orderkey % 9 = 0 THEN 333 ELSE (o_orderkey % 9 + 1)::INT END AS next FROM m"
+)
+def entity_ids(spark, sf_dir):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    made = topology.make_id(F.array(c % 5, o % 5, c % 3, o % 7), 3)
+    after = topology.next_alter(F.when(o % 9 != 0, (o % 9).cast("int")), "edge")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", made.alias("id"), after.alias("next")).select("o_orderkey", "id.members", "id.multi", "next")
+
+
+# Graph tables
+
+I_ = "i AS (SELECT o_orderkey AS seq, 10 + o_custkey % 7 AS hi, o_custkey % 5 AS lo, row_number() OVER (PARTITION BY o_custkey % 7, o_custkey % 5 ORDER BY o_orderkey % 10 <> 0, o_orderkey) AS n FROM orders)"
+
+
+def _inserted(spark, sf_dir) -> dict[str, DataFrame]:
+    """A graph of faces, a row of ``orders`` each, put in by two inserts."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    face = F.struct((10 + c % 7).alias("hi"), (c % 5).alias("lo"), F.lit(None).cast("int").alias("alter"))
+    rows = _table(spark, sf_dir, "orders").select(face.alias("id"), F.concat(F.lit("p"), o).alias("prop"), o.alias("seq"))
+    graph = graphtables.insert_new(graphtables.empty_graph(spark), "face", rows.where("seq % 10 = 0"))
+    return graphtables.insert_new(graph | {"face": materialise(graph["face"], "faces")}, "face", rows.where("seq % 10 <> 0"))
+
+
+@query(f"WITH {I_} SELECT hi, lo, CASE WHEN n > 1 THEN n + 1 END::INT AS alter, 'p' || seq AS prop FROM i")
+def graph_insert_faces(spark, sf_dir):
+    return _inserted(spark, sf_dir)["face"].select("id.*", "prop")
+
+
+@query(f"WITH {I_} SELECT id, count(*) AS faces, NULL::VARCHAR AS prop FROM (SELECT hi AS id FROM i UNION ALL SELECT lo FROM i) GROUP BY id")
+def graph_insert_links(spark, sf_dir):
+    return _inserted(spark, sf_dir)["grain"].select("id", F.size("conn").cast("long").alias("faces"), "prop")
+
+
+def _level(spark, sf_dir) -> DataFrame:
+    """Customers as elements, every third without a property, linked to their orders."""
+    c = F.col("c_custkey")
+    rows = _table(spark, sf_dir, "customer").select(c.alias("id"), F.when(c % 3 != 0, F.concat(F.lit("c"), c)).alias("prop"))
+    return graphtables.connect(graphtables.new_elements(rows), _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("other")))
+
+
+LEVEL = "l AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 <> 0 THEN 'c' || c_custkey END AS prop, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey)"
+
+
+@query(f"WITH {LEVEL} SELECT id, CASE WHEN id % 4 = 0 THEN coalesce(prop, '') || '!' ELSE prop END AS prop, n FROM l WHERE NOT (id % 4 = 2 AND id % 8 = 2)")
+def graph_alter(spark, sf_dir):
+    level = _level(spark, sf_dir)
+    rows = level.where("id % 4 = 0 or id % 8 = 2").select("id", F.when(F.col("id") % 4 == 0, F.lit("!")).alias("prop"))
+    changed = graphtables.alter(level, rows, lambda old, new: F.when(new.isNotNull(), F.concat(F.coalesce(old, F.lit("")), new)))
+    return changed.select("id", "prop", F.size("conn").cast("long").alias("n"))
+
+
+@query(f"WITH {LEVEL} SELECT id, n, prop FROM l WHERE id % 5 = 0 AND prop IS NOT NULL")
+def graph_get_both(spark, sf_dir):
+    level = _level(spark, sf_dir)
+    return graphtables.get_both(level, graphtables.ids(level).where("id % 5 = 0")).select("id", F.size("conn").cast("long").alias("n"), "prop")
+
+
+@query(f"WITH {LEVEL} SELECT id, n FROM l WHERE id % 5 = 0")
+def graph_get_links(spark, sf_dir):
+    level = _level(spark, sf_dir)
+    return graphtables.get_links(level, graphtables.ids(level).where("id % 5 = 0")).select("id", F.size("conn").cast("long").alias("n"))
+
+
+@query(f"WITH {LEVEL} SELECT id, CASE WHEN id % 2 = 1 THEN upper(prop) END AS prop FROM l")
+def graph_unset_adjust(spark, sf_dir):
+    level = _level(spark, sf_dir)
+    return graphtables.adjust(graphtables.unset(level, level.where("id % 2 = 0").select("id")), F.upper).select("id", "prop")
+
+
+@query(f"WITH {LEVEL} SELECT id, CASE WHEN id % 6 = 0 THEN 'new' ELSE prop END AS prop, CASE WHEN id % 6 = 0 THEN 0 ELSE n END AS n FROM l")
+def graph_new_grains(spark, sf_dir):
+    level = _level(spark, sf_dir)
+    graph = graphtables.insert_new({"grain": level}, "grain", level.where("id % 6 = 0").select("id", F.lit("new").alias("prop")))
+    return graph["grain"].select("id", "prop", F.size("conn").cast("long").alias("n"))
+
+
+# More of boxes, matrices and vectors
+
+
+def _merged(spark, sf_dir, axis: int) -> DataFrame:
+    cells = materialise(_grid(spark, sf_dir).where("value <> 1"), "cells")
+    half = BOX.dim[axis] // 2
+    dim = tuple(half if k == axis else d for k, d in enumerate(BOX.dim))
+    first, second = BoxMeta(dim), BoxMeta(dim, tuple(half if k == axis else 0 for k in range(3)))
+    both, whole = sparse.merge(sparse.make(cells, first), first, sparse.make(cells, second), second)
+    return both.where(whole.inside(*_xyz()))
+
+
+@query(f"WITH {V} SELECT x, y, z, value FROM v WHERE value <> 1")
+def sparse_merge_y(spark, sf_dir):
+    return _merged(spark, sf_dir, 1)
+
+
+@query(f"WITH {V} SELECT x, y, z, value FROM v WHERE value <> 1")
+def sparse_merge_z(spark, sf_dir):
+    return _merged(spark, sf_dir, 2)
+
+
+@query(f"WITH {V} SELECT x - 4 AS x, y - 4 AS y, z - 2 AS z, value FROM v WHERE x BETWEEN 4 AND 13 AND y BETWEEN 4 AND 11 AND z BETWEEN 2 AND 5")
+def sparse_shifted(spark, sf_dir):
+    return sparse.shifted(sparse.make(_grid(spark, sf_dir), INNER), INNER)
+
+
+@query("SELECT * FROM (VALUES ('empty', 0, NULL::INT), ('single', 1, 7)) t(name, n, value)")
+def sparse_small(spark, sf_dir):
+    none, one = sparse.empty(spark, (1, 2, 3))[0], sparse.singleton(spark, (1, 2, 3), 7)[0]
+    count = lambda df, name: df.agg(F.lit(name).alias("name"), F.count("*").cast("int").alias("n"), F.max("value").alias("value"))
+    return count(none, "empty").unionByName(count(one, "single"))
+
+
+@query("SELECT pos, (pos % 4)::INT AS i, ((pos // 4) % 5)::INT AS j, (pos // 20)::INT AS k, pos AS back FROM (SELECT unnest(range(120)) AS pos)")
+def array_places(spark, sf_dir):
+    return matrix.places(spark, (4, 5, 6)).withColumn("back", matrix.position((4, 5, 6), F.col("i"), F.col("j"), F.col("k")))
+
+
+@query(f"WITH {M}, p AS (SELECT o_orderkey, (o_orderkey % 40)::INT AS i, (o_custkey % 30)::INT AS j FROM orders) SELECT o_orderkey, p.i, p.j, coalesce(val, 0) AS val FROM p LEFT JOIN m ON m.i = p.i AND m.j = p.j")
+def matrix_at(spark, sf_dir):
+    points = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 40).cast("int").alias("i"), (F.col("o_custkey") % 30).cast("int").alias("j"))
+    return matrix.at(_matrix(spark, sf_dir, "l_partkey", 40, "l_suppkey", 30), points, (40, 30))
+
+
+@query(f"WITH {M} SELECT i, string_agg(printf('%.3e', val), ' ' ORDER BY j) AS text FROM m GROUP BY i")
+def matrix_text(spark, sf_dir):
+    return matrix.pretty(_matrix(spark, sf_dir, "l_partkey", 40, "l_suppkey", 30))
+
+
+@query(f"WITH {M} SELECT i, list(val ORDER BY j) AS vals FROM m GROUP BY i")
+def matrix_rows(spark, sf_dir):
+    return matrix.rows(_matrix(spark, sf_dir, "l_partkey", 40, "l_suppkey", 30))
+
+
+@query("SELECT (k % 3)::INT AS i, (k // 3)::INT AS j, (k * k)::DOUBLE AS val FROM (SELECT unnest(range(12)) AS k)")
+def matrix_from_list(spark, sf_dir):
+    return matrix.from_list(spark, (3, 4), [k * k for k in range(12)])
+
+
+@query("SELECT o_orderkey, list_reverse_sort([o_orderkey % 7, o_custkey % 7, o_orderkey % 3, o_custkey % 5]) AS down, range(0, o_orderkey % 9 + 1) AS mixed FROM orders")
+def vector_sorts(spark, sf_dir):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    mixed = vectors.shuffle(F.sequence(F.lit(0).cast("long"), o % 9), 5)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", vectors.sort_down(o % 7, c % 7, o % 3, c % 5).alias("down"), F.array_sort(mixed).alias("mixed"))
+
+
+@query("SELECT i, i + 1 AS j, 10.0::DOUBLE AS val FROM (SELECT unnest([0, 1]) AS i) UNION ALL SELECT 0, 0, 89.0 WHERE false")
+def graph_power(spark, sf_dir):
+    # A chain with weights 10: its first power is itself, its third is empty.
+    chain = spark.createDataFrame([(0, 1, 10.0), (1, 2, 10.0)], "i int, j int, val double")
+    return clustering.power(chain, 1).unionByName(clustering.power(chain, 3))

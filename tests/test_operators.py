@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from grainlake.functions import vectors
 from grainlake.functions.box import BoxMeta
 from grainlake.operators import clustering, components, grains, graphtables, matrix, optimum, segments, sparse, topology
-from grainlake.sources import grids, vtk
+from grainlake.sources import grids, shared, vtk
 
 
 def union_find(n, edges):
@@ -42,13 +42,20 @@ def labels_of(df):
     return [r.label for r in df.orderBy("vid").collect()]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [20, 1000])
+def test_components(spark, at_once):
     r = random.Random(2)
     edges = [(k, k + 1) for k in range(0, 60)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)] + [(300, 300)]
-    got = {r.id: r.label for r in components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    got = {r.id: r.label for r in components.connected_components(spark.createDataFrame(edges, "src long, dst long"), at_once=at_once).collect()}
     want = union_find(301, edges)
     assert got == {k: want[k] for e in edges if e[0] != e[1] for k in e}
     assert components.connected_components(spark.createDataFrame([(1, None), (4, 4)], "src long, dst long")).count() == 0
+    words = spark.createDataFrame([("b", "c"), ("é", "b"), ("x", "y")], "src string, dst string")
+    assert {r.id: r.label for r in components.connected_components(words, at_once=at_once).collect()} == {"b": "b", "c": "b", "é": "b", "x": "x", "y": "x"}
+    star = [(0, k) for k in range(1, 90)] + [(200, 199)] + [(k, k + 100) for k in range(200, 260)]
+    got = {r.id: r.label for r in components.connected_components(spark.createDataFrame(star, "src long, dst long"), at_once=at_once).collect()}
+    want = union_find(400, star)
+    assert got == {k: want[k] for e in star for k in e}
 
 
 def test_small_grids(spark):
@@ -91,10 +98,11 @@ def test_topology_of_eight_grains(spark, tmp_path):
         labels = grains.find_grains(grids.from_values(spark, box, list(range(8))))
         t = topology.build(labels, box)
         assert (t.grains.count(), t.faces.count(), t.edges.count(), t.vertices.count()) == (8, 12, 6, 1)
-        assert {r.state for r in t.edges.collect()} == {"half"} and {len(r.edges) for r in t.faces.collect()} == {2}
+        assert {r.state for r in t.edges.collect()} == {"half"} and {len(r.edges) for r in t.nested()[1].collect()} == {2}
         vertex = t.vertices.first()
         assert vertex.vertex.multi and vertex.vertex.grains == list(range(7, -1, -1)) and vertex.vertex.alter is None
-    for name, df in (("faces", t.faces), ("edges", t.edges)):
+        assert {len(r.faces) for r in t.nested()[0].collect()} == {3} and {len(r.vertices) for r in t.nested()[2].collect()} == {1}
+    for name, df in (("faces", t.nested()[1]), ("edges", t.nested()[2])):
         grids.write_tables(str(tmp_path), **{name: df})
         back = grids.read_tables(spark, str(tmp_path), name)[name]
         assert sorted(map(str, back.collect())) == sorted(map(str, df.collect())) and back.dtypes == df.dtypes
@@ -105,9 +113,9 @@ def test_flat_grids_have_triple_lines_but_no_vertices(spark):
     t = topology.build(grains.find_grains(grids.from_values(spark, box, [1, 2, 3, 4])), box)
     edge = t.edges.first()
     assert t.edges.count() == 1 and edge.state == "dummy" and edge.edge.multi and t.vertices.count() == 0
-    assert {r.edges for r in t.faces.select(F.size("edges").alias("edges")).collect()} <= {None, -1}
+    assert {len(r.edges) for r in t.nested()[1].collect()} == {0}
     full = topology.build(grains.find_grains(grids.from_values(spark, box, [1, 2, 3, 4])), box, everywhere=True)
-    assert {len(r.edges) for r in full.faces.collect()} == {1}
+    assert {len(r.edges) for r in full.nested()[1].collect()} == {1}
 
 
 def test_same_pair_of_grains_meets_twice(spark):
@@ -195,6 +203,15 @@ def test_segments(spark):
     branch = segments.chain([(1, 2), (2, 3), (2, 4), (2, 5)])
     assert sorted(k for _, s in branch for k, _ in s) == [0, 1, 2, 3]
     near = spark.createDataFrame([(0, 0.0, 1.0), (1, 1.0001, 2.0)], "idx long, head double, tail double")
+    close = spark.createDataFrame([(0, 0.0, 1.0149), (1, 1.0151, 2.0), (2, 2.011, 3.0)], "idx long, head double, tail double")
+    assert [(r.seq, r.idx) for r in segments.sort_segments(close, tolerance=0.01).orderBy("idx").collect()] == [(0, 0), (0, 1), (2, 2)]
+    many = [(k, k // 40 * 100 + k % 40, k // 40 * 100 + k % 40 + 1) for k in range(4000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        sizes = Counter(r.seq for r in segments.sort_segments(spark.createDataFrame(many, "idx long, head long, tail long")).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sizes == {40 * k: 40 for k in range(100)}
     found = segments.sort_segments(near, tolerance=0.01)
     assert found.select("seq").distinct().count() == 1 and segments.only(found, "open") is not None and segments.only(found, "loop") is None
     assert segments.opens(found).count() == 2 and segments.loops(found).count() == 0
@@ -202,12 +219,28 @@ def test_segments(spark):
 
 def test_minima():
     bowl = lambda v: (float(v @ v), 2 * v)
-    assert optimum.line_search(bowl, np.array([1.0, 0.0]), np.array([-4.0, -2.0])) == 0.25
+    assert 0.1 < optimum.line_search(bowl, np.array([1.0, 0.0]), np.array([-4.0, -2.0])) < 0.3
     assert optimum.line_search(bowl, np.array([1.0, 0.0]), np.array([1.0, 0.0])) == 1.0
     quad = lambda v: (float((v[0] - 2) ** 2 + 3 * (v[1] + 1) ** 2), np.array([2 * (v[0] - 2), 6 * (v[1] + 1)]))
     assert np.allclose(optimum.bfgs(quad, np.array([100.0, 431.0])), [2, -1], atol=1e-6)
 
 
+def test_steps_meet_the_wolfe_conditions():
+    rng = np.random.default_rng(0)
+    shapes = [lambda v: (float(np.cos(v).sum() + 0.1 * v @ v), -np.sin(v) + 0.2 * v), lambda v: (float((v**4).sum() - v.sum()), 4 * v**3 - 1), lambda v: (float(np.log1p(v @ v)), 2 * v / (1 + v @ v))]
+    for f in shapes:
+        for _ in range(40):
+            x = rng.normal(0, 3, 3)
+            down = -f(x)[1] * 10 ** rng.uniform(-4, 2)
+            a, slope = optimum.line_search(f, x, down), float(down @ f(x)[1])
+            value, gradient = f(x + a * down)
+            assert value <= f(x)[0] + optimum.DECREASE * a * slope and abs(gradient @ down) <= -optimum.CURVATURE * slope + 1e-9
+    banana = lambda v: (float(100 * (v[1] - v[0] ** 2) ** 2 + (1 - v[0]) ** 2), np.array([-400 * v[0] * (v[1] - v[0] ** 2) - 2 * (1 - v[0]), 200 * (v[1] - v[0] ** 2)]))
+    assert np.allclose(optimum.bfgs(banana, np.array([-1.2, 1.0]), optimum.Stop(rounds=300)), [1, 1], atol=1e-5)
+    other = lambda v: (float(2 * v[0] ** 2 + 2 * v[0] * v[1] + 2 * v[1] ** 2 - 6 * v[0]), np.array([4 * v[0] + 2 * v[1] - 6, 2 * v[0] + 4 * v[1]]))
+    assert np.allclose(optimum.bfgs(other, np.array([100.0, 431.0])), [2, -1], atol=1e-6)
+
+
 def test_clusters(spark):
     cliques = [(a, b) for k in (0, 10, 20) for a in range(k, k + 5) for b in range(k, a)] + [(0, 10)]
     got = {r.id: r.cluster for r in clustering.markov_cluster(spark.createDataFrame(cliques, "src long, dst long")).collect()}
@@ -223,7 +256,69 @@ def test_exports(spark, tmp_path):
     arrays = {a.get("Name"): a.text.split() for a in ET.parse(tmp_path / "g.vtr").iter("DataArray")}
     assert arrays["value"] == [str(k) for k in range(12)] and arrays["x"] == ["-0.25", "0.25", "0.75"]
     t = topology.build(grains.find_grains(grids.from_values(spark, box, [1, 2, 3] * 4)), box)
-    vtk.write_unstructured(tmp_path / "f.vtu", vtk.element_rows(t.faces, "face"), box, "face")
+    vtk.write_unstructured(tmp_path / "f.vtu", vtk.element_rows(t.unit_faces, "face"), box, "face")
     arrays = {a.get("Name"): a.text.split() for a in ET.parse(tmp_path / "f.vtu").iter("DataArray")}
     assert arrays["color"] == ["1"] * 4 + ["2"] * 4 and arrays["offsets"][-1] == "32" and set(arrays["types"]) == {"9"}
     assert len(arrays["Points"]) == 3 * 4 * 3 * 3 and max(map(int, arrays["connectivity"])) < 36
+
+
+def test_attributes_of_several_components(spark, tmp_path):
+    box = BoxMeta((2, 1, 1))
+    grid = grids.from_values(spark, box, [1, 2]).withColumns({"v": F.array(F.lit(1.0), F.lit(2.0)), "n": F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)), "m": F.array(*(F.lit(float(k)) for k in range(9)))})
+    vtk.write_rectilinear(tmp_path / "g.vtr", grid, box, ["v", "n", "m"], normals="n")
+    tree = ET.parse(tmp_path / "g.vtr")
+    arrays = {a.get("Name"): (a.get("NumberOfComponents"), a.text.split()) for a in tree.iter("DataArray")}
+    assert arrays["v"] == ("3", ["1", "2", "0"] * 2) and arrays["n"][0] == "3" and arrays["m"][0] == "9" and next(tree.iter("PointData")).get("Normals") == "n"
+    vtk.write_unstructured(tmp_path / "v.vtu", vtk.grain_rows(grid.withColumn("label", F.col("vid")), "v"), box, "voxel", ("v",))
+    arrays = {a.get("Name"): a.text.split() for a in ET.parse(tmp_path / "v.vtu").iter("DataArray")}
+    assert arrays["color"] == ["1", "2"] and arrays["v"] == ["1", "2", "0"] * 2 and set(arrays["types"]) == {"1"}
+    with pytest.raises(ValueError):
+        vtk.write_rectilinear(tmp_path / "x.vtr", grid.withColumn("v", F.array(*map(F.lit, range(5)))), box, ["v"])
+
+
+def test_new_elements_of_a_graph(spark):
+    graph = graphtables.empty_graph(spark)
+    assert graphtables.ids(graph["grain"]).count() == 0
+    graph = graphtables.insert_new(graph, "grain", spark.createDataFrame([(1, "10", 0)], "id long, prop string, seq int"))
+    assert [(r.id, r.prop) for r in graph["grain"].collect()] == [(1, "10")]
+    rows = spark.createDataFrame([((2, 1, None), "a", 0), ((2, 1, None), "b", 1), ((3, 1, None), "c", 2)], f"id {graphtables.FACE_ID}, prop string, seq int")
+    graph = graphtables.insert_new(graph, "face", rows)
+    assert {(*r.id, r.prop) for r in graph["face"].collect()} == {(2, 1, None, "a"), (2, 1, 3, "b"), (3, 1, None, "c")}
+    assert {r.id: len(r.conn) for r in graph["grain"].collect()} == {1: 3, 2: 2, 3: 1}
+    # A free number between taken ones is found.
+    gap = graph["face"].where("id.alter is null or id.hi = 3").unionByName(spark.createDataFrame([((2, 1, 4), "x", [])], graph["face"].schema))
+    more = spark.createDataFrame([((2, 1, None), str(k), k) for k in range(3)], f"id {graphtables.FACE_ID}, prop string, seq int")
+    assert [r.id.alter for r in graphtables.unique_ids(gap, more, "face").orderBy("seq").collect()] == [3, 5, 6]
+    edge = (False, [(3, 1, None), (2, 1, None), (3, 2, None)], None)
+    graph = graphtables.insert_new(graph, "edge", spark.createDataFrame([(edge, "e", 0, edge[1])], f"id {graphtables.EDGE_ID}, prop string, seq int, below array<{graphtables.FACE_ID}>"))
+    assert {(*r.id, r.prop, len(r.conn)) for r in graph["face"].collect()} == {(2, 1, None, "a", 1), (2, 1, 3, "b", 0), (3, 1, None, "c", 1), (3, 2, None, None, 1)}
+    graph = graphtables.insert_new(graph, "vertex", spark.createDataFrame([((False, [4, 3, 2, 1], None), "v", 0, [edge])], f"id {graphtables.VERTEX_ID}, prop string, seq int, below array<{graphtables.EDGE_ID}>"))
+    assert graph["vertex"].first().prop == "v" and len(graph["edge"].first().conn) == 1
+    level = graphtables.new_elements(spark.createDataFrame([(1, "a"), (2, None)], "id long, prop string"))
+    gone = graphtables.alter(level, spark.createDataFrame([(1, "x"), (3, "y")], "id long, prop string"), lambda old, new: F.when(old.isNull(), new))
+    assert {(r.id, r.prop) for r in gone.collect()} == {(2, None), (3, "y")}
+    assert graphtables.get_both(level, graphtables.ids(level)).count() == 1 and graphtables.get_links(level, graphtables.ids(level)).count() == 2
+
+
+def test_edges_of_matrices(spark):
+    with pytest.raises(Exception, match="outside"):
+        matrix.at(matrix.identity(spark, 2), spark.createDataFrame([(2, 0)], "i int, j int"), (2, 2)).collect()
+    for wrong in (matrix.zero, matrix.one):
+        with pytest.raises(ValueError):
+            wrong()
+    cells, box = sparse.singleton(spark, (1, 2, 3), 7)
+    assert sparse.lookup(cells, spark.createDataFrame([(1, 2, 3)], "x int, y int, z int")).first().value == 7 and box.size == 1
+    assert sparse.empty(spark, (0, 0, 0))[0].count() == 0
+
+
+def test_a_label_column_is_replaced(spark):
+    grid = grids.from_values(spark, BoxMeta((2, 2, 1)), [1, 1, 0, 0]).withColumn("label", F.lit("old"))
+    assert labels_of(grains.find_grains(grid)) == [0, 0, 2, 2]
+
+
+def test_tables_are_taken_away(spark):
+    table = shared.materialise(spark.range(3), "some")
+    assert table.count() == 3
+    shared.discard(table)
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(table._table_path)
