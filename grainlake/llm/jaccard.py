@@ -1,11 +1,14 @@
 """N-gram Jaccard join by signature trees.
 
 Which documents can be linked at all follows from the pigeonhole principle: sets a and b (a the smaller) with
-Jaccard of at least t differ in at most |a| (1/t - 1) shingles, so of one more parts of the hash space they hold the
-same shingles in at least one. Documents that share such a part are a family; families lose no link. Within a family
-a signature tree is built: its nodes hold the OR of their documents' bitmaps and their range of sizes. A dual
-traversal of trees drops pairs of nodes whose largest possible overlap is too small for a link, and pairs that are
-linked throughout already; what is left is verified shingle by shingle.
+Jaccard of at least t differ in at most |a| (1/t - 1) shingles, so of that many parts of the hash space and some
+spare ones more they hold the same shingles in more than the spare ones. So each set may leave out as many of its parts
+as there are spare ones, if all leave out by the same order: linked sets still share one that is left. The order is by
+how many sets have the part, so what goes are the parts of passages that many documents share. Documents that share a
+part that is left are a family; families lose no link. Within a family a signature tree is built: its nodes hold the OR
+of their documents' bitmaps and their range of sizes. A dual traversal of trees drops pairs of nodes whose largest
+possible overlap is too small for a link, and pairs that are linked throughout already; what is left is verified
+shingle by shingle.
 """
 
 from __future__ import annotations
@@ -16,19 +19,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from grainlake.operators.components import connected_components
 
-from .common import materialise, small_batches
+from .common import discard, materialise, small_batches
 
 #: Bits of a signature, documents of a leaf, children of a node.
 BITS, LEAF, FANOUT = 2048, 16, 8
 #: Shingles that a block of a family holds, about (eight bytes each); larger families are cut into blocks.
 BLOCK_SHINGLES = 12_000_000
-#: Keys of parts that one task sorts, about.
-BUCKET_PARTS = 4_000_000
+#: Keys of parts that are sorted where texts are read, and that one task sorts after they are dealt out, about.
+PACK_KEYS, BUCKET_KEYS = 2_000_000, 8_000_000
+#: Bits of a key that count: so few of different keys are equal by chance, and then only a family is larger.
+KEY_BITS = 48
 #: Smallest sizes of successive size classes are about this far apart.
 CLASS_RATIO = 1.4
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -80,16 +88,13 @@ def _parts(largest: int, least: Fraction) -> tuple[int, int]:
     """Parts for sets of which the smaller has up to ``largest`` shingles, and how many more they are than needed: one
     more than such sets can differ in would be enough for one equal part, ``spare`` more give as many more."""
     differ = int(largest * (1 / least - 1))
-    spare = -(-differ // 10) + 1 if differ else 0
+    spare = -(-differ // 2)
     return differ + 1 + spare, spare
 
 
-def part_keys(shingles: np.ndarray, least: Fraction, known: dict) -> np.ndarray:
-    """A key for each part of each size class, from the class, the part and the shingles that fall into it.
-
-    Linked sets have over ``spare`` equal parts. Empty parts say nothing, so they are left out; where a set has more
-    of them than ``spare`` they are kept, as all that two such sets have equal might be empty.
-    """
+def parts_of(shingles: np.ndarray, least: Fraction, known: dict) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each size class of a set: a key for each part, from the class, the part and the shingles that fall into it;
+    which parts hold any; and how many parts are spare. Linked sets have over ``spare`` equal parts in a class."""
     out, n = [], len(shingles)
     if n not in known:
         known[n] = size_classes(n, least)
@@ -98,10 +103,14 @@ def part_keys(shingles: np.ndarray, least: Fraction, known: dict) -> np.ndarray:
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, at, _mix(shingles * _M1))
         tags = np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)
-        keys = _mix(_mix(tags * _M1) + sums * _M2)
-        held = np.bincount(at, minlength=parts) > 0
-        out.append(keys if parts - held.sum() > spare else keys[held])
-    return np.concatenate(out)
+        keys = _mix(_mix(tags * _M1) + sums * _M2) >> np.uint64(64 - KEY_BITS)
+        out.append((keys, np.bincount(at, minlength=parts) > 0, spare))
+    return out
+
+
+def part_keys(shingles: np.ndarray, least: Fraction, known: dict) -> np.ndarray:
+    """The keys of all parts of a set that hold any shingle; of all parts, where more than the spare ones are empty."""
+    return np.concatenate([k if (~held).sum() > spare else k[held] for k, held, spare in parts_of(shingles, least, known)])
 
 
 def overlap_needed(a, b, least: Fraction):
@@ -120,11 +129,12 @@ class Node:
 class Forest:
     """Signature trees over the sets of some documents, and which of them are known to be linked.
 
-    ``sets`` are sorted hashes; ``group`` holds equal numbers for documents that are connected already.
+    ``sets`` are sorted hashes; ``group`` holds equal numbers for documents that are connected already. Pairs that are
+    connected aren't looked at again, unless ``every`` link is asked for.
     """
 
-    def __init__(self, sets: list[np.ndarray], least: Fraction, group: np.ndarray | None = None):
-        self.sets, self.least = sets, least
+    def __init__(self, sets: list[np.ndarray], least: Fraction, group: np.ndarray | None = None, every: bool = False):
+        self.sets, self.least, self.every = sets, least, every
         self.size = np.array([len(s) for s in sets], np.int64)
         self.parent = np.arange(len(sets))
         self.links: list[tuple[int, int]] = []
@@ -167,6 +177,8 @@ class Forest:
 
     def uniform(self, node: Node) -> bool:
         """Whether all documents under a node are connected; once they are they stay so."""
+        if self.every:
+            return False
         if not node.same:
             if node.children:
                 node.same = all(map(self.uniform, node.children)) and len({self.find(c.rows[0]) for c in node.children}) == 1
@@ -219,7 +231,7 @@ class Forest:
         for i, j in np.argwhere(could):
             k, m = xs[i], ys[j]
             r, s = self.find(k), self.find(m)
-            if r != s and self._common(k, m) >= need[i, j]:
+            if (r != s or self.every) and self._common(k, m) >= need[i, j]:
                 self.parent[max(r, s)] = min(r, s)
                 self.links.append((k, m))
 
@@ -247,45 +259,181 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[new], nodes[new], pairs
 
 
-def shared_parts(df: DataFrame, words: int, least: Fraction, bits: int, at_once: int = 1 << 20) -> DataFrame:
-    """``node, least`` for ``df(text)``: each node that shares a part with others, and the smallest node among them.
+def _split(keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted keys as their upper 16 bits, which compress to next to nothing, and their lower 32."""
+    return (keys >> np.uint64(32)).astype("<u2").tobytes(), keys.astype("<u4").tobytes()
+
+
+def _whole(high: bytes, low: bytes) -> np.ndarray:
+    return (np.frombuffer(high, "<u2").astype(np.uint64) << np.uint64(32)) | np.frombuffer(low, "<u4")
+
+
+class Pack:
+    """Some documents, their sets' sizes and nodes, and the sorted keys of their parts.
 
-    Keys of about ``at_once`` parts are sorted together where texts are read. Nodes that meet there are linked there,
-    and one of them goes on, so a part that many documents share sends one row a million keys. The others are dealt
-    out by the first ``bits`` of their keys, packed: a row has the keys of many documents, each with eight bytes and a
-    place in a list of nodes.
+    A group is a set in one of its size classes; ``owners`` are the groups of the keys. A set's copies have no part
+    in it again. Empty parts come last in every order of parts, by their keys: ``rare`` are the keys of those that a
+    group can't leave out, and ``drop`` is how many of its other parts it leaves out.
     """
-    small_batches(df.sparkSession)
 
-    def pack(keys: list[np.ndarray], owners: list[np.ndarray]):
-        key, node, pairs = _stars(np.concatenate(keys), np.concatenate(owners))
-        cuts = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(key)])
-        rows = []
-        for bucket in np.flatnonzero(np.diff(cuts)):
-            part = slice(cuts[bucket], cuts[bucket + 1])
-            own, place = np.unique(node[part], return_inverse=True)
-            rows.append((int(bucket), key[part].tobytes(), own.tobytes(), place.astype(np.uint32 if len(own) > 1 << 16 else np.uint16).tobytes()))
-        for at in range(0, len(pairs), 100_000):
-            # Links that were found here: a row without keys.
-            rows.append((int(pairs[at, 0] % (1 << bits)), b"", pairs[at : at + 100_000].tobytes(), b""))
-        for at in range(0, len(rows), 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 16]), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "keys", "nodes", "places"])
-
-    def spread(batches):
-        shingler, classes = Shingler(words), {}
-        keys, owners, held = [], [], 0
+    def __init__(self, least: Fraction):
+        self.least, self.classes, self.held = least, {}, 0
+        self.ids, self.sizes, self.nodes, self.known = [], [], [], set()
+        self.keys, self.owners, self.group_nodes, self.drop, self.rare, self.rare_owners = [], [], [], [], [], []
+
+    def add(self, key, shingles: np.ndarray) -> None:
+        node = _node(shingles)
+        self.ids.append(key)
+        self.sizes.append(len(shingles))
+        self.nodes.append(node)
+        if not len(shingles) or node in self.known:
+            return
+        self.known.add(node)
+        for keys, held, spare in parts_of(shingles, self.least, self.classes):
+            group, empty = len(self.drop), np.sort(keys[~held])
+            self.group_nodes.append(node)
+            self.drop.append(max(0, spare - len(empty)))
+            self.keys.append(keys[held])
+            self.owners.append(np.full(len(self.keys[-1]), group, np.uint32))
+            self.held += len(self.keys[-1])
+            for k in empty[: max(0, len(empty) - spare)]:
+                self.rare.append(k)
+                self.rare_owners.append(group)
+
+    def row(self, number: int) -> tuple:
+        keys = np.concatenate(self.keys) if self.keys else np.zeros(0, np.uint64)
+        owners = np.concatenate(self.owners) if self.owners else np.zeros(0, np.uint32)
+        order = np.argsort(keys, kind="stable")
+        small = "<u2" if len(self.drop) <= 1 << 16 else "<u4"
+        packed = [np.array(x, t).tobytes() for x, t in ((self.group_nodes, "<i8"), (self.drop, "<i4"), (self.rare, "<u8"), (self.rare_owners, "<u4"))]
+        return number, self.ids, self.sizes, self.nodes, self.held, *_split(keys[order]), owners[order].astype(small).tobytes(), *packed
+
+
+_PACKED = ["pack", "ids", "sizes", "nodes", "n_keys", "high", "low", "owners", "group_nodes", "drop", "rare", "rare_owners"]
+
+
+def packs(rows: DataFrame, words: int, least: Fraction, at_once: int = PACK_KEYS) -> DataFrame:
+    """``Pack``s of ``rows(id, text)``, of about ``at_once`` keys each: the only pass over all texts."""
+    small_batches(rows.sparkSession)
+    kind = T.StructField("id", rows.schema["id"].dataType)
+    arrow = to_arrow_schema(T.StructType([T.StructField("ids", T.ArrayType(kind.dataType))])).field(0).type
+    longs, binary = T.ArrayType(T.LongType()), T.BinaryType()
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(_PACKED, (T.LongType(), T.ArrayType(kind.dataType), longs, longs, T.LongType(), *[binary] * 7))])
+    types = [pa.int64(), arrow, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), *[pa.binary()] * 7]
+
+    def run(batches):
+        shingler, number, pack = Shingler(words), TaskContext.get().partitionId() << 32, Pack(least)
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(pack.row(number), types)], names=_PACKED)
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                s = shingler(text)
-                if len(s):
-                    keys.append(part_keys(s, least, classes))
-                    owners.append(np.full(len(keys[-1]), _node(s), np.int64))
-                    held += len(keys[-1])
-                    if held >= at_once:
-                        yield from pack(keys, owners)
-                        keys, owners, held = [], [], 0
-        if held:
-            yield from pack(keys, owners)
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                pack.add(key, shingler(text))
+                if pack.held >= at_once or len(pack.ids) >= at_once:
+                    yield made()
+                    number, pack = number + 1, Pack(least)
+        if pack.ids:
+            yield made()
+
+    return rows.mapInArrow(run, schema)
+
+
+def repeated_keys(packed: DataFrame, bits: int) -> DataFrame:
+    """``pack, high, low, n``: the keys of each pack that several sets have, in this pack or in all, and how many do.
+
+    A pack counts its keys before they are dealt out by their first ``bits``, so a key of very many sets is one number
+    a pack. Keys go in sorted pieces, six bytes each.
+    """
+
+    def deal(batches):
+        for batch in batches:
+            for number, high, low in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                keys, n = np.unique(_whole(high, low), return_counts=True)
+                bucket = (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64)
+                begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
+                rows = []
+                for a, b in zip(begin, [*begin[1:], len(keys)]):
+                    counts = n[a:b].astype("<u4").tobytes() if (n[a:b] > 1).any() else b""  # mostly each is one
+                    rows.append((int(bucket[a]), number, *_split(keys[a:b]), counts))
+                for at in range(0, len(rows), 1024):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 1024]), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "pack", "high", "low", "n"])
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        each = [_whole(h, w) for h, w in zip(pdf["high"], pdf["low"])]
+        n = np.concatenate([np.frombuffer(c, "<u4") if c else np.ones(len(k), "<u4") for k, c in zip(each, pdf["n"])])
+        every = np.concatenate(each)
+        order = np.argsort(every, kind="stable")
+        new = np.flatnonzero(np.r_[True, every[order][1:] != every[order][:-1]])
+        sums = np.add.reduceat(n[order].astype(np.int64), new)
+        total = np.empty(len(every), np.int64)
+        total[order] = np.repeat(sums, np.diff(np.r_[new, len(every)]))
+        out, at = [], 0
+        for number, keys in zip(pdf["pack"], each):
+            mine = total[at : at + len(keys)]
+            at += len(keys)
+            often = mine > 1
+            if often.any():
+                out.append((number, *_split(keys[often]), np.minimum(mine[often], (1 << 32) - 1).astype("<u4").tobytes()))
+        return pd.DataFrame(out, columns=["pack", "high", "low", "n"])
+
+    dealt = packed.select("pack", "high", "low").mapInArrow(deal, "bucket long, pack long, high binary, low binary, n binary")
+    return dealt.groupBy("bucket").applyInPandas(count, "pack long, high binary, low binary, n binary")
+
+
+def kept_parts(packed: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
+    """``bucket, keys, nodes, places``: of each pack the parts that its sets don't leave out and that others have too.
+
+    Nodes that meet in a pack are linked there, a row without keys, and one of them goes on for each key. The others
+    are dealt out by the first ``bits`` of their keys, packed.
+    """
+
+    def keep(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for pack in left.itertuples(index=False):
+            keys, group_nodes = _whole(pack.high, pack.low), np.frombuffer(pack.group_nodes, "<i8")
+            owners = np.frombuffer(pack.owners, "<u2" if len(group_nodes) <= 1 << 16 else "<u4").astype(np.int64)
+            often = np.concatenate([_whole(h, w) for h, w in zip(right["high"], right["low"])]) if len(right) else np.zeros(0, np.uint64)
+            if len(often):
+                n = np.concatenate([np.frombuffer(c, "<u4") for c in right["n"]])
+                order = np.argsort(often)
+                often, n = often[order], n[order]
+                at = np.minimum(np.searchsorted(often, keys), len(often) - 1)
+                shared = often[at] == keys
+                keys, owners, n = keys[shared], owners[shared], n[at[shared]]
+                # Of each group, in the order of how many sets have the part, all but the last ones.
+                order = np.lexsort((keys, n, owners))
+                keys, owners = keys[order], owners[order]
+                have = np.bincount(owners, minlength=len(group_nodes))
+                rank = np.arange(len(owners)) - (np.cumsum(have) - have)[owners]
+                stay = rank < (have - np.frombuffer(pack.drop, "<i4"))[owners]
+                keys, owners = keys[stay], owners[stay]
+            else:
+                keys, owners = keys[:0], owners[:0]
+            keys = np.concatenate([keys, np.frombuffer(pack.rare, "<u8")])
+            owners = np.concatenate([owners, np.frombuffer(pack.rare_owners, "<u4").astype(np.int64)])
+            key, node, pairs = _stars(keys, group_nodes[owners])
+            bucket = (key >> np.uint64(KEY_BITS - bits)).astype(np.int64)
+            begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(key) else np.zeros(0, np.int64)
+            for a, b in zip(begin, [*begin[1:], len(key)]):
+                own, place = np.unique(node[a:b], return_inverse=True)
+                rows.append((int(bucket[a]), key[a:b].tobytes(), own.tobytes(), place.astype(np.uint32).tobytes()))
+            for at in range(0, len(pairs), 100_000):
+                rows.append((int(pairs[at, 0] % (1 << bits)), b"", pairs[at : at + 100_000].tobytes(), b""))
+        return pd.DataFrame(rows, columns=["bucket", "keys", "nodes", "places"])
+
+    mine = packed.select("pack", "high", "low", "owners", "group_nodes", "drop", "rare", "rare_owners")
+    return mine.groupBy("pack").cogroup(repeated.groupBy("pack")).applyInPandas(keep, "bucket long, keys binary, nodes binary, places binary")
+
+
+def shared_parts(packed: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """``node, least`` for ``packed``: each node that shares a part that is left with others, and the smallest node of
+    those.
+
+    As many buckets of keys as keep ``bucket_keys`` in each: what a task sorts doesn't grow with the table.
+    """
+    total = packed.agg(F.sum("n_keys")).first()[0] or 0
+    bits = max(4, int(np.ceil(np.log2(max(1.0, total / bucket_keys)))))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, nodes, pairs = [], [], []
@@ -293,7 +441,7 @@ def shared_parts(df: DataFrame, words: int, least: Fraction, bits: int, at_once:
             own = np.frombuffer(node, np.int64)
             if key:
                 keys.append(np.frombuffer(key, np.uint64))
-                nodes.append(own[np.frombuffer(place, np.uint16 if len(own) <= 1 << 16 else np.uint32)])
+                nodes.append(own[np.frombuffer(place, np.uint32)])
             else:
                 pairs.append(own.reshape(-1, 2))
         if keys:
@@ -301,33 +449,28 @@ def shared_parts(df: DataFrame, words: int, least: Fraction, bits: int, at_once:
         found = np.unique(np.concatenate(pairs), axis=0)
         return pd.DataFrame({"node": found[:, 0], "least": found[:, 1]})
 
-    packed = df.select("text").mapInArrow(spread, "bucket int, keys binary, nodes binary, places binary")
-    return packed.groupBy("bucket").applyInPandas(meet, "node long, least long").distinct()
+    kept = kept_parts(packed, repeated_keys(packed, bits), bits)
+    return kept.groupBy("bucket").applyInPandas(meet, "node long, least long")
 
 
-def _shingled(df: DataFrame, words: int, least: Fraction, what: str) -> DataFrame:
-    """Row by row from ``df(id, text, ...)``: ``sets``: id, n, node; ``hashes``: n, node, hashes."""
-    small_batches(df.sparkSession)
-    kind = df.schema["id"].dataType.simpleString() if "id" in df.columns else ""
-    schema = {"sets": f"id {kind}, n long, node long", "hashes": "n long, node long, hashes binary"}[what]
+def _hashed(texts: DataFrame, words: int) -> DataFrame:
+    """``n, node, hashes`` of each row of ``texts(text)``."""
+    small_batches(texts.sparkSession)
 
     def run(batches):
         shingler = Shingler(words)
         for batch in batches:
             sets = [shingler(t) for t in batch.column("text").to_pylist()]
             nodes, sizes = np.array([_node(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int64)
-            if what == "sets":
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(nodes)], names=["id", "n", "node"])
-            else:
-                raw = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(nodes), raw], names=["n", "node", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(nodes), pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "node", "hashes"])
 
-    return df.mapInArrow(run, schema)
+    return texts.mapInArrow(run, "n long, node long, hashes binary")
 
 
-def _traverse(pdf: pd.DataFrame, least: Fraction) -> pd.DataFrame:
-    """Links that connect the documents of a group, in blocks 0 and, for a pair of blocks, 1."""
-    forest = Forest([np.frombuffer(x, np.uint64) for x in pdf["hashes"]], least, pdf["group"].to_numpy())
+def _traverse(pdf: pd.DataFrame, least: Fraction, every: bool) -> pd.DataFrame:
+    """Links among the documents of a group, in blocks 0 and, for a pair of blocks, 1: those that connect them, or
+    ``every`` one."""
+    forest = Forest([np.frombuffer(x, np.uint64) for x in pdf["hashes"]], least, None if every else pdf["group"].to_numpy(), every)
     side = pdf["side"].to_numpy()
     if side.any():
         forest.between(forest.build(np.flatnonzero(side == 0)), forest.build(np.flatnonzero(side == 1)))
@@ -338,13 +481,25 @@ def _traverse(pdf: pd.DataFrame, least: Fraction) -> pd.DataFrame:
     return pd.DataFrame({"src": node[pairs[:, 0]], "dst": node[pairs[:, 1]]})
 
 
-def _linked(rows: DataFrame, key: list[str], least: Fraction) -> DataFrame:
+def _linked(rows: DataFrame, key: list[str], least: Fraction, every: bool) -> DataFrame:
     def linked(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _traverse(pdf, least)
+        return _traverse(pdf, least, every)
 
     return rows.groupBy(*key).applyInPandas(linked, "src long, dst long")
 
 
+def _sets_and_links(df: DataFrame, id_col: str, text_col: str, words: int, least: Fraction, block_shingles: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """``id, n, node`` of every row, and links between nodes; tables that are still read."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    packed = materialise(packs(rows, words, least), "packs")
+    sets = materialise(packed.select(F.explode(F.arrays_zip("ids", "sizes", "nodes")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.sizes").alias("n"), F.col("x.nodes").alias("node")), "shingle-sets")
+    families = connected_components(shared_parts(packed), "node", "least")
+    discard(packed)
+    links = _family_links(rows, sets, families.select(F.col("id").alias("node"), F.col("label").alias("family")), words, least, block_shingles, every)
+    discard(families)
+    return sets, links
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, least: Fraction = Fraction(9, 10), block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: the size of its set of word n-grams, and the smallest id of
     the rows that it reaches by links, pairs with a Jaccard of at least ``least``.
@@ -355,30 +510,36 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null and empty texts, and texts of white space, have no shingles and link with nothing; their component is their
     own id. A null id is never the smallest; rows that repeat an id are rows of their own. No rows, no rows. Other
-    columns are ignored, whatever their names.
+    columns are ignored, whatever their names. Ids may be of any type that has an order.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = materialise(_shingled(rows, words, least, "sets"), "shingle-sets")
-    # As many buckets as keep a few million parts in each; a set has about so many parts as shingles times this.
-    total = (sets.agg(F.sum("n")).first()[0] or 0) * float(1 / least - 1) * CLASS_RATIO
-    bits = max(6, int(np.ceil(np.log2(max(1.0, total / BUCKET_PARTS)))))
-    stars = materialise(shared_parts(rows, words, least, bits), "stars")
-    families = materialise(connected_components(stars, "node", "least"), "families").select(F.col("id").alias("node"), F.col("label").alias("family"))
-    links = _family_links(rows, sets, families, words, least, block_shingles)
-    groups = connected_components(links) if links is not None else None
-    nodes = sets.withColumn("top", F.col("node"))
-    if groups is not None:
-        groups = groups.select(F.col("id").alias("node"), F.col("label").alias("group"))
-        nodes = sets.join(groups, "node", "left").withColumn("top", F.coalesce("group", "node"))
-    # A table, as only a side that comes straight from its exchange lets the rows of a hot group be split.
+    sets, links = _sets_and_links(df, id_col, text_col, words, least, block_shingles, False)
+    labels = connected_components(links)
+    groups = labels.select(F.col("id").alias("node"), F.col("label").alias("group"))
+    # Tables on both sides, as only sides that come straight from their exchanges let the rows of a hot group be split.
+    nodes = materialise(sets.join(groups, "node", "left").withColumn("top", F.coalesce("group", "node")).drop("group", "node"), "grouped")
+    discard(sets, links, labels)
     tops = materialise(nodes.where("n > 0").groupBy("top").agg(F.min("id").alias("first")), "groups")
     found = nodes.join(tops, "top", "left")
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _family_links(rows: DataFrame, sets: DataFrame, families: DataFrame, words: int, least: Fraction, block_shingles: int) -> DataFrame | None:
-    """Links between nodes of the same family, enough to connect all that are linked."""
-    reps = sets.join(families, "node").groupBy("node", "family", "n").agg(F.min("id").alias("id"))
+def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, least: Fraction = Fraction(9, 10), block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """Every link, as pairs of classes and their members: ``class_a, class_b`` of each two different sets that are
+    linked, the smaller class first, and ``doc_id, n_shingles, class_id`` of every row; equal sets are one class.
+
+    A class is a number. Copies aren't expanded into pairs, but the number of pairs within a group of sets that are
+    all alike grows with its square. Odd rows: as in ``jaccard_components``; sets without shingles have no class.
+    """
+    sets, links = _sets_and_links(df, id_col, text_col, words, least, block_shingles, True)
+    pairs = links.select(F.least("src", "dst").alias("class_a"), F.greatest("src", "dst").alias("class_b")).distinct()
+    return pairs, sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("class_id"))
+
+
+def _family_links(rows: DataFrame, sets: DataFrame, families: DataFrame, words: int, least: Fraction, block_shingles: int, every: bool) -> DataFrame:
+    """Links between nodes of the same family, enough to connect all that are linked, or ``every`` one."""
+    # Copies are one row before the join, so that a hot node is one.
+    reps = sets.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("id")).join(families, "node")
+    reps = materialise(reps, "family-reps")
     total = reps.groupBy("family").agg(F.sum("n").alias("all"))
     blocks = F.ceil(F.col("all") / block_shingles)
     placed = reps.join(total, "family").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("blocks", blocks.cast("int"))
@@ -387,35 +548,42 @@ def _family_links(rows: DataFrame, sets: DataFrame, families: DataFrame, words:
     # to all tasks if it is small and else deals out with the texts.
     ids = materialise(placed.select("rep").distinct(), "family-ids")
     texts = rows.join(ids, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    hashes = _shingled(texts, words, least, "hashes").dropDuplicates(["node"])
+    hashes = _hashed(texts, words).dropDuplicates(["node"])
     full = materialise(hashes.join(placed.select("node", "family", "block", "blocks"), "node"), "family-sets")
     own = F.lit(0).alias("side")
     alone = full.withColumn("group", F.col("node"))
-    links = materialise(_linked(alone.select("node", "hashes", "group", own, "family", "block"), ["family", "block"], least), "links")
-    many = placed.where("blocks > 1")
-    step = 0
-    while not many.isEmpty():
-        step += 1
-        groups = connected_components(links).select(F.col("id").alias("node"), F.col("label").alias("group"))
-        known = many.select("node", "family", "block", "blocks").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    links = materialise(_linked(alone.select("node", "hashes", "group", own, "family", "block"), ["family", "block"], least, every), "links")
+    discard(reps, ids)
+    many = placed.where("blocks > 1").select("node", "family", "block", "blocks")
+    steps = 0 if many.isEmpty() else 1 if every else 2
+    for step in range(steps):
+        known = many.withColumn("group", F.col("node"))
+        if not every:
+            labels = connected_components(links)
+            groups = labels.select(F.col("id").alias("node"), F.col("label").alias("group"))
+            known = many.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
         known = materialise(known, "groups")
+        if not every:
+            discard(labels)
         # A block all of one component has that as its only one; a family of one component is done.
         each = known.groupBy("family", "block", "blocks").agg(F.min("group").alias("low"), F.max("group").alias("high"))
-        open_ = each.groupBy("family").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("family")
-        each = each.join(open_, "family", "left_semi")
+        if not every:
+            open_ = each.groupBy("family").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("family")
+            each = each.join(open_, "family", "left_semi")
         other = each.select(*(F.col(c).alias(f"{c}_2") for c in ("family", "block", "low", "high")))
         # First each block with the next one, the last with the first; then the pairs that are left.
         gap = F.col("block_2") - F.col("block")
         beside = (gap == 1) | ((gap == F.col("blocks") - 1) & (gap > 1))
-        after = (gap > 0) & (beside if step == 1 else ~beside)
-        done = (F.col("low") == F.col("high")) & (F.col("low_2") == F.col("high_2")) & (F.col("low") == F.col("low_2"))
+        after = (gap > 0) & (F.lit(True) if every else beside if step == 0 else ~beside)
+        done = F.lit(False) if every else (F.col("low") == F.col("high")) & (F.col("low_2") == F.col("high_2")) & (F.col("low") == F.col("low_2"))
         pairs = each.join(other, (F.col("family") == F.col("family_2")) & after).where(~done)
         sides = F.array(F.struct(F.col("block").alias("own"), F.lit(0).alias("side")), F.struct(F.col("block_2").alias("own"), F.lit(1).alias("side")))
         pairs = materialise(pairs.select("family", "block", "block_2", F.inline(sides)).withColumnsRenamed({"block": "one", "block_2": "two", "own": "block"}), "block-pairs")
         if not pairs.isEmpty():
             shipped = full.select("node", "hashes").join(known, "node").join(pairs, ["family", "block"])
-            more = _linked(shipped.select("node", "hashes", "group", "side", "family", "one", "two"), ["family", "one", "two"], least)
-            links = materialise(links.unionByName(more), "links")
-        if step > 1:
-            break
+            more = _linked(shipped.select("node", "hashes", "group", "side", "family", "one", "two"), ["family", "one", "two"], least, every)
+            before, links = links, materialise(links.unionByName(more), "links")
+            discard(before)
+        discard(known, pairs)
+    discard(placed, full)
     return links

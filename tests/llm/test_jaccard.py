@@ -99,3 +99,46 @@ def test_trees_prune_and_find_every_component():
     for i in range(len(rows)):
         for j in range(i):
             assert (forest.find(i) == forest.find(j)) == (want[str(rows[i][0])] == want[str(rows[j][0])])
+
+
+def passages(seed, n):
+    """Documents of few passages that many of them share, some words of their own, and near copies of them."""
+    r = random.Random(seed)
+    shared = [[f"p{k}w{j}" for j in range(30)] for k in range(12)]
+    rows = []
+    for k in range(n):
+        words = [w for p in r.sample(shared, r.randint(1, 4)) for w in p] + [f"own{k}x{j}" for j in range(r.randint(0, 80))]
+        for copy in range(r.choice([1, 1, 1, 4])):
+            changed = list(words)
+            for _ in range(r.randint(0, 3) if copy else 0):
+                changed[r.randrange(len(changed))] = f"z{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(changed)))
+    return rows
+
+
+def test_shared_passages_lose_no_link(spark):
+    rows = passages(4, 120)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for words, least in ((3, Fraction(9, 10)), (5, Fraction(8, 10)), (2, Fraction(1, 2))):
+        want = brute(rows, words, least)
+        assert listed(jaccard.jaccard_components(df, words=words, least=least)) == want and len({c for _, _, c in want}) < len(rows)
+
+
+def test_parts_of_shared_passages_are_left_out(spark):
+    # Nothing here is linked, though all share a passage: so nothing is a family.
+    rows = [(k, " ".join([f"p{j}" for j in range(40)] + [f"own{k}x{j}" for j in range(80)])) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    packed = jaccard.materialise(jaccard.packs(df, 5, Fraction(8, 10)), "packs")
+    assert jaccard.shared_parts(packed).where("node <> least").count() == 0
+
+
+def test_every_link(spark):
+    rows = varied(5, 90, 2) + [(1000, "a b c d e"), (1001, "a b c d e"), (1002, ""), (1003, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {i: shingles(t) for i, t in rows}
+    for size in (10**9, 500):
+        pairs, members = jaccard.jaccard_links(df, block_shingles=size)
+        of = {r.doc_id: r.class_id for r in members.collect()}
+        assert of[1000] == of[1001] and of[1002] is None is of[1003]
+        want = {tuple(sorted((of[i], of[j]))) for i in sets for j in sets if i < j and sets[i] and sets[j] and sets[i] != sets[j] and 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j])}
+        assert {(r.class_a, r.class_b) for r in pairs.collect()} == want and len(want) > 15
