@@ -140,7 +140,7 @@ WITH pages2 AS (
 totals AS (SELECT host, count(*) AS pages FROM pages2 GROUP BY host),
 often AS (
   SELECT host, line FROM (SELECT DISTINCT page_id, host, unnest(lines) AS line FROM pages2) JOIN totals USING (host)
-  WHERE trim(line) <> '' AND pages >= 20 GROUP BY host, line, pages HAVING count(*) > 0.1::DOUBLE * pages),
+  WHERE trim(line) <> '' GROUP BY host, line, pages HAVING count(*) > 0.1::DOUBLE * pages AND count(*) >= 3),
 bad AS (SELECT host, list(line) AS b FROM often GROUP BY host),
 cut AS (
   SELECT page_id, host, list_filter(lines, lambda x: trim(x) <> '') AS had,
