@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 BUCKET_DIGITS = 3
 
 
+def walk_key(id_: Column, seed: int = 1) -> Column:
+    """What orders the documents of a source in its last walk."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit(""))))
+
+
 def water_fill(sources: DataFrame, weight_col: str, size_col: str, max_epochs: int) -> DataFrame:
     """Add ``target`` to a table of one row a source: the sources share the sum of all sizes by weight, none gets
     more than ``max_epochs`` times its size, and what is above is shared again by weight until none is above.
@@ -42,14 +47,14 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
 
     A null size counts as 0. Null sources are one source. Null ids hash as the empty string; rows that repeat an
     id are documents of their own, and those alike in id and size too are interchangeable. No rows, no rows.
-    Other columns are ignored, whatever their names, but for ``carry``, which each row keeps as ``carried``.
+    Other columns are ignored, whatever their names, but for ``carry``, which each row keeps as ``carried`` and which
+    orders rows alike in id and size.
     """
     carried = [] if carry is None else [carry.alias("carried")]
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), *carried)
     # A key without nulls, so that joins and windows are dealt out alike.
     named = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
-    docs = docs.withColumns({"_s": named, "_key": key}).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    docs = docs.withColumns({"_s": named, "_key": walk_key(F.col("doc_id"), seed)}).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
     buckets = docs.groupBy("_s", "_bucket").agg(F.sum("size").alias("_sum"), F.first("source").alias("source"))
     sources = buckets.groupBy("_s").agg(F.sum("_sum").alias("source_size"), F.first("source").alias("source"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -60,7 +65,7 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
     plan = plan.withColumn("_last", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     earlier = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("_s", "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")).join(plan, "_s")
-    here = Window.partitionBy("_s", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = Window.partitionBy("_s", "_bucket").orderBy("_key", "doc_id", "size", *(["carried"] if carried else [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = docs.join(offsets, ["_s", "_bucket"]).withColumn("_start", F.col("_before") + F.sum("size").over(here) - F.col("size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_last") - F.col("_start"))).cast("long")
     return placed.select("doc_id", "source", "size", "source_size", "target", "whole", part.alias("part"), *(["carried"] if carried else []))
