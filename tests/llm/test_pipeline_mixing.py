@@ -21,3 +21,13 @@ def test_an_id_of_two_sources_counts_by_source(spark, sf):
     for r in cp.mix_sources(spark, docs, sf).collect():
         words[r.source] += len(r.text.split())
     assert words == {"a": 60, "b": 120, "c": 180}
+
+
+def test_rows_that_repeat_an_id_count_by_their_texts(spark, sf):
+    rows = [(k // 4, f"{s}{k} " * 10, s, "y") for k in range(12) for s in "abc"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix string").repartition(3)
+    words = Counter()
+    got = cp.mix_sources(spark, docs, sf)
+    for r in got.collect():
+        words[r.source] += len(r.text.split())
+    assert words == {"a": 60, "b": 120, "c": 180} and got.columns == docs.columns
