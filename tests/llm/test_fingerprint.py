@@ -1,7 +1,9 @@
 import hashlib
 import re
+import struct
 
 import pytest
+import xxhash
 
 from grainlake.llm import fingerprint as fp
 from grainlake.llm import queries
@@ -9,7 +11,8 @@ from odd import ROWS, empty, odd
 
 
 def units(text):
-    return {u for x in text.split("\n") for u in (re.split(r"(?<=[.!?]) +", x) if len(x) > 1000 else [x]) if u}
+    # Java's look-behind split; blank pieces have no digest
+    return {u for u in re.split(r"\n+|(?<=[.!?]) +", text) if u}
 
 
 def jaccard(a, b):
@@ -70,3 +73,49 @@ def test_odd_rows(spark):
     assert fp.compare_versions(empty(spark)).count() == 0
     one = fp.compare_versions(odd(spark).where("doc_id = 1")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def spark_hash(key, number):
+    """Spark's xxhash64 of a long and an int."""
+    first = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+    return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<i", number), first)))[0]
+
+
+def decode(a, b):
+    """The differing digests of two fingerprints, by subtracting and peeling what they show; None if some are left."""
+    signed = lambda x: struct.unpack("<q", struct.pack("<Q", int(x, 16)))[0]
+    read = lambda f: {int(c): (int(n), signed(k), signed(s)) for c, n, k, s in (x.split(":") for x in f.split("/")[2].split(",") if x)}
+    a, b, found = read(a), read(b), set()
+    cells = {c: [x - y for x, y in zip(a.get(c, (0, 0, 0))[:1], b.get(c, (0, 0, 0))[:1])] + [x ^ y for x, y in zip(a.get(c, (0, 0, 0))[1:], b.get(c, (0, 0, 0))[1:])] for c in range(3 * fp.WIDTH)}
+    while pure := [v for v in cells.values() if abs(v[0]) == 1 and spark_hash(v[1], 97) == v[2]]:
+        n, key, check = pure[0]
+        found.add(key)
+        for r in range(3):
+            cell = cells[spark_hash(key, r) % fp.WIDTH + r * fp.WIDTH]
+            cell[0], cell[1], cell[2] = cell[0] - n, cell[1] ^ key, cell[2] ^ check
+    return None if any(any(v) for v in cells.values()) else found
+
+
+def test_likeness_is_that_of_the_fingerprints(spark, sf):
+    got = fp.compare_versions(spark.read.parquet(f"{sf}/documents.parquet")).orderBy("doc_id").collect()
+    size = lambda f: int(f.split("/")[1])
+    small = 0
+    for k, r in enumerate(got):
+        for other, near in ((r.edited_fingerprint, r.near_edited), (got[(k + 1) % len(got)].fingerprint, r.near_next)):
+            found, n = decode(r.fingerprint, other), size(r.fingerprint) + size(other)
+            if found is not None and len(found) <= 20:
+                small += 1
+                assert near == pytest.approx((n - len(found)) / (n + len(found)) if n else 1.0)
+    assert small > len(got) / 4
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", "One. Two. Three."), ("a", "One. Two. Four."), (None, "Five."), ("c", None)]
+    got = {r.doc_id: r for r in fp.compare_versions(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    order = [None, "a", "b", "c"]
+    texts = {i: t or "" for i, t in rows}
+    for k, i in enumerate(order):
+        after = texts[order[(k + 1) % 4]]
+        assert got[i].near_next == pytest.approx(jaccard(texts[i], after)) and got[i].edited == hashlib.sha256(edited(texts[i], after).encode()).hexdigest()
+    nameless = spark.createDataFrame([(None, "One."), (None, "Two.")], "doc_id date, text string")
+    assert [r.near_next for r in fp.compare_versions(nameless).collect()] == [0.0, 0.0]
