@@ -3,6 +3,9 @@
 Every version of every path is addressed by its content. The ledger holds which (blob, rule, rule version) have been
 scanned and what was found; a run scans only pairs that it has not seen, one copy of each blob, and joins the
 findings back to all paths that hold it.
+
+A run writes its findings first and then what it has seen. One that ends in between is repeated by the next, which
+finds the same and writes it again; findings are read as a set, so they count once.
 """
 
 from __future__ import annotations
@@ -39,11 +42,18 @@ RULES = (
 )
 
 
+#: What Spark says of a folder that isn't there, and of one without a finished file.
+_NOTHING = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """A part of the ledger; none where nothing has been written yet. Any other fault is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None  # nothing has been scanned yet
+    except AnalysisException as fault:
+        if fault.getCondition() not in _NOTHING:
+            raise
+        return None
 
 
 def _gaps(rule: Rule, wanted: Column) -> Column:
@@ -108,6 +118,6 @@ def scan_versions(df: DataFrame, ledger: str, path_col: str, text_col: str = "te
     current = spark.read.parquet(f"{ledger}/found").where(F.col("version") == version[F.col("kind")])
     one = F.struct("start", rank[F.col("kind")].alias("rank"), "kind", "stop")
     # A table, as only a side that comes straight from its exchange lets the rows of a hot blob be split.
-    by_blob = materialise(current.groupBy("blob").agg(F.array_sort(F.collect_list(one)).alias("spans")), "findings")
+    by_blob = materialise(current.groupBy("blob").agg(F.array_sort(F.collect_set(one)).alias("spans")), "findings")
     none = F.array().cast(by_blob.schema["spans"].dataType)
     return versions.join(by_blob, "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))
