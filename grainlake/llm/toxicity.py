@@ -4,8 +4,9 @@ Grades are ordered: 0 clean, 1 toxic, 2 very toxic. P(grade > k) is the logistic
 text's features less a threshold that grows with k; the weights are shared by all thresholds, and the expected
 severity is the sum of these probabilities.
 
-Labels say toxic or not. A toxic row's grade is 2 where it has more features that mark toxic rows, repeats counted,
-than the median toxic row.
+Labels of more than two values are grades themselves. Labels that say toxic or not leave open how toxic a row is; there a
+toxic row's grade is 2 where it has more features that mark toxic rows, repeats counted, than the median toxic row,
+and what marks toxic rows is learnt from the other folds of the sample, never from the row itself.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import small_batches
 MAX_LABELLED, BUCKETS, KEPT = 8_000, 1 << 20, 512
 #: Features count if their log odds in toxic and other rows, and their G statistic, are above these.
 MIN_ODDS, MIN_G = 1.5, 18.0
+#: Folds of the sample, and the log odds from which a feature marks toxic rows.
+FOLDS, MARKING = 5, 2.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -112,30 +115,54 @@ def fit_grades(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndar
     return params[:size], split(params)
 
 
-def fit_rows(keys: list[np.ndarray], counts: list[np.ndarray], toxic_rows: np.ndarray) -> Model:
-    """Fit on rows given as features and how often each occurs."""
-    if not toxic_rows.any() or toxic_rows.all():
-        return Model()
-    every, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for k, toxic in zip(keys, toxic_rows):
-        every[k] += 1
-        bad[k] += toxic
-    n, n_bad = len(keys), int(toxic_rows.sum())
-    # Smoothed log odds of a feature in toxic and other rows, and the G statistic of its table with the label.
+def _telling(every: np.ndarray, bad: np.ndarray, n: int, n_bad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log odds of a feature in toxic and other rows, and the G statistic of its table with the label: 0 for
+    what is weak or may be chance, which would only spread the weights."""
     odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((every - bad + 0.5) / (n - n_bad + 1))
-    told = np.zeros(BUCKETS)
+    told = np.zeros(len(every))
     for seen, mean in ((bad, every * n_bad / n), (every - bad, every * (n - n_bad) / n), (n_bad - bad, (n - every) * n_bad / n), (n - n_bad - every + bad, (n - every) * (n - n_bad) / n)):
         told += np.where(seen > 0, 2 * seen * np.log(np.maximum(seen, 1e-9) / np.maximum(mean, 1e-9)), 0)
-    # What is weak or may be chance would only spread the weights.
-    told = np.where((np.abs(odds) > MIN_ODDS) & (told > MIN_G), told, 0)
+    return odds, np.where((np.abs(odds) > MIN_ODDS) & (told > MIN_G), told, 0)
+
+
+def _tables(keys: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In how many rows each feature is, and in how many toxic ones."""
+    every, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for k, marked in zip(keys, toxic):
+        every[k] += 1
+        bad[k] += marked
+    return every, bad
+
+
+def out_of_fold_grades(keys: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Grades 0, 1 and 2 of rows that are toxic or not, by marking features of the folds that a row isn't in."""
+    every, bad = _tables(keys, toxic)
+    fold, amount = np.arange(len(keys)) % FOLDS, np.zeros(len(keys))
+    for f in range(FOLDS):
+        mine = np.flatnonzero(fold == f)
+        own, own_bad = _tables([keys[k] for k in mine], toxic[mine])
+        n, n_bad = len(keys) - len(mine), int(toxic.sum() - toxic[mine].sum())
+        if not 0 < n_bad < n:
+            continue
+        odds, told = _telling(every - own, bad - own_bad, n, n_bad)
+        marking = (odds > MARKING) & (told > 0)
+        amount[mine] = [counts[k][marking[keys[k]]].sum() for k in mine]
+    return toxic.astype(np.int64) + (toxic & (amount > np.median(amount[toxic])))
+
+
+def fit_rows(keys: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray) -> Model:
+    """Fit on rows given as features, how often each occurs, and labels: the lowest is clean, others are toxic."""
+    levels, grades = np.unique(labels, return_inverse=True)
+    if len(levels) < 2:
+        return Model()
+    toxic = grades > 0
+    odds, told = _telling(*_tables(keys, toxic), len(keys), int(toxic.sum()))
     chosen_keys = np.sort(np.argsort(-told, kind="stable")[:KEPT])
     chosen_keys = chosen_keys[told[chosen_keys] > 0]
     if not len(chosen_keys):
         return Model()
-    marking = np.zeros(BUCKETS, bool)
-    marking[chosen_keys[odds[chosen_keys] > 2]] = True
-    amount = np.array([c[marking[k]].sum() for k, c in zip(keys, counts)])
-    grades = toxic_rows.astype(np.int64) + (toxic_rows & (amount > np.median(amount[toxic_rows])))
+    if len(levels) == 2:
+        grades = out_of_fold_grades(keys, counts, toxic)
     place = np.full(BUCKETS, -1)
     place[chosen_keys] = np.arange(len(chosen_keys))
     kept = [place[k] >= 0 for k in keys]
@@ -148,13 +175,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on at most ``max_labelled`` labelled rows, the first in the order of a hash of their ids.
 
     Executors turn texts into counts of features; the driver gets those of the sample. Rows without a label, an id
-    or a text are left out. If all labels are alike the model rejects nothing.
+    or a text are left out. Of several labels of an id the highest counts, of several texts the smallest, so that the
+    bound holds and runs agree. If all labels are alike the model rejects nothing.
     """
-    sample = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().dropDuplicates(["id"])
+    sample = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("id").agg(F.max("label").alias("label"))
     sample = sample.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).dropna()
     # At most max_labelled ids and labels, so a few hundred KB.
-    chosen = texts.join(F.broadcast(sample), "id").select("label", "text")
+    chosen = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text")).orderBy("id").select("label", "text")
     small_batches(docs.sparkSession)
 
     def count(batches):
@@ -172,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = chosen.mapInArrow(count, "label int, keys binary, counts binary").toArrow()
     ints = lambda name: [np.frombuffer(x.as_py(), "<i4") for x in got[name]]
-    return fit_rows(ints("keys"), ints("counts"), np.array(got["label"].to_pylist(), np.int64) > 0)
+    return fit_rows(ints("keys"), ints("counts"), np.array(got["label"].to_pylist(), np.int64))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
