@@ -40,8 +40,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialise`` returned and that nothing reads any more, wherever the folder is."""
+    """Delete tables that ``materialise`` returned and that nothing reads any more, wherever the folder is.
+
+    What was shuffled for them goes too: executors delete it once the driver's collector finds that no plan needs it.
+    """
     for table in tables:
         context = table.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(table._table_path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
