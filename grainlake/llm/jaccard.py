@@ -103,7 +103,7 @@ def parts_of(shingles: np.ndarray, least: Fraction, known: dict) -> list[tuple[n
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, at, _mix(shingles * _M1))
         tags = np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)
-        keys = _mix(_mix(tags * _M1) + sums * _M2) >> np.uint64(64 - KEY_BITS)
+        keys = _mix(_mix(tags * _M1) + sums * _M2) >> np.uint64(65 - KEY_BITS)
         out.append((keys, np.bincount(at, minlength=parts) > 0, spare))
     return out
 
@@ -264,6 +264,11 @@ def _split(keys: np.ndarray) -> tuple[bytes, bytes]:
     return (keys >> np.uint64(32)).astype("<u2").tobytes(), keys.astype("<u4").tobytes()
 
 
+def _node_keys(nodes: np.ndarray) -> np.ndarray:
+    """A key for each node, to count in how many packs it is: the upper half of all keys, which parts don't have."""
+    return (_mix(nodes.astype(np.uint64) * _M2) >> np.uint64(65 - KEY_BITS)) | np.uint64(1 << (KEY_BITS - 1))
+
+
 def _whole(high: bytes, low: bytes) -> np.ndarray:
     return (np.frombuffer(high, "<u2").astype(np.uint64) << np.uint64(32)) | np.frombuffer(low, "<u4")
 
@@ -340,7 +345,8 @@ def packs(rows: DataFrame, words: int, least: Fraction, at_once: int = PACK_KEYS
 
 
 def repeated_keys(packed: DataFrame, bits: int) -> DataFrame:
-    """``pack, high, low, n``: the keys of each pack that several sets have, in this pack or in all, and how many do.
+    """``pack, high, low, n``: the keys of each pack that several sets have, in this pack or in all, and how many do;
+    the same of its nodes, of which each pack holds one copy.
 
     A pack counts its keys before they are dealt out by their first ``bits``, so a key of very many sets is one number
     a pack. Keys go in sorted pieces, six bytes each.
@@ -348,8 +354,9 @@ def repeated_keys(packed: DataFrame, bits: int) -> DataFrame:
 
     def deal(batches):
         for batch in batches:
-            for number, high, low in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                keys, n = np.unique(_whole(high, low), return_counts=True)
+            for number, high, low, nodes in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                named = _node_keys(np.unique(np.frombuffer(nodes, "<i8")))
+                keys, n = np.unique(np.concatenate([_whole(high, low), np.unique(named)]), return_counts=True)
                 bucket = (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64)
                 begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
                 rows = []
@@ -377,13 +384,14 @@ def repeated_keys(packed: DataFrame, bits: int) -> DataFrame:
                 out.append((number, *_split(keys[often]), np.minimum(mine[often], (1 << 32) - 1).astype("<u4").tobytes()))
         return pd.DataFrame(out, columns=["pack", "high", "low", "n"])
 
-    dealt = packed.select("pack", "high", "low").mapInArrow(deal, "bucket long, pack long, high binary, low binary, n binary")
+    dealt = packed.select("pack", "high", "low", "group_nodes").mapInArrow(deal, "bucket long, pack long, high binary, low binary, n binary")
     return dealt.groupBy("bucket").applyInPandas(count, "pack long, high binary, low binary, n binary")
 
 
 def kept_parts(packed: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
     """``bucket, keys, nodes, places``: of each pack the parts that its sets don't leave out and that others have too.
 
+    A set that has copies in several packs counts as often; parts that no more sets have than that are its own.
     Nodes that meet in a pack are linked there, a row without keys, and one of them goes on for each key. The others
     are dealt out by the first ``bits`` of their keys, packed.
     """
@@ -398,9 +406,17 @@ def kept_parts(packed: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
                 n = np.concatenate([np.frombuffer(c, "<u4") for c in right["n"]])
                 order = np.argsort(often)
                 often, n = often[order], n[order]
-                at = np.minimum(np.searchsorted(often, keys), len(often) - 1)
-                shared = often[at] == keys
-                keys, owners, n = keys[shared], owners[shared], n[at[shared]]
+
+                def times(wanted: np.ndarray, often=often, n=n) -> np.ndarray:
+                    at = np.minimum(np.searchsorted(often, wanted), len(often) - 1)
+                    return np.where(often[at] == wanted, n[at], 1).astype(np.int64)
+
+                n = times(keys)
+                # No part is had less often than its set.
+                fewest = np.full(len(group_nodes), 1 << 32)
+                np.minimum.at(fewest, owners, n)
+                shared = n > np.minimum(times(_node_keys(group_nodes)), fewest)[owners]
+                keys, owners, n = keys[shared], owners[shared], n[shared]
                 # Of each group, in the order of how many sets have the part, all but the last ones.
                 order = np.lexsort((keys, n, owners))
                 keys, owners = keys[order], owners[order]
@@ -433,7 +449,7 @@ def shared_parts(packed: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame
     As many buckets of keys as keep ``bucket_keys`` in each: what a task sorts doesn't grow with the table.
     """
     total = packed.agg(F.sum("n_keys")).first()[0] or 0
-    bits = max(4, int(np.ceil(np.log2(max(1.0, total / bucket_keys)))))
+    bits = 1 + max(4, int(np.ceil(np.log2(max(1.0, total / bucket_keys)))))  # parts have the lower half of all keys
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, nodes, pairs = [], [], []
@@ -544,10 +560,10 @@ def _family_links(rows: DataFrame, sets: DataFrame, families: DataFrame, words:
     blocks = F.ceil(F.col("all") / block_shingles)
     placed = reps.join(total, "family").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("blocks", blocks.cast("int"))
     placed = materialise(placed.select("node", "family", "n", F.col("id").alias("rep"), "block", "blocks"), "family-nodes")
-    # Only texts whose rows stand for a node of a family are read into sets: their ids are a table, which Spark sends
-    # to all tasks if it is small and else deals out with the texts.
+    # Only texts whose rows stand for a node of a family are read into sets. Their ids grow with the table, so they are
+    # dealt out with the texts at every size.
     ids = materialise(placed.select("rep").distinct(), "family-ids")
-    texts = rows.join(ids, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    texts = rows.join(ids.hint("merge"), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
     hashes = _hashed(texts, words).dropDuplicates(["node"])
     full = materialise(hashes.join(placed.select("node", "family", "block", "blocks"), "node"), "family-sets")
     own = F.lit(0).alias("side")
