@@ -53,15 +53,18 @@ def chunked(payload: Column) -> Column:
 
 
 def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """``id, url, payload, digest, size, refers_to``: of rows with equal payloads of at least ``min_bytes`` the one
-    with the largest id has no ``refers_to``, the others have that id. Equal means equal length, SHA-1 and 64-bit
+    """``id, url, payload, digest, size, refers_to, refers_url``: of rows with equal payloads of at least ``min_bytes``
+    the one with the largest id has no ``refers_to``, the others have that id and its url. Equal means equal length, SHA-1 and 64-bit
     hash. Only payloads that occur more than once are joined, whose rows adaptive execution splits if one is hot."""
     same = ["digest", "size", "_check"]
-    large = pages.where(F.col("size") >= min_bytes).groupBy(*same).agg(F.max("id").alias("_rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    large = pages.where(F.col("size") >= min_bytes).groupBy(*same).agg(F.max(F.struct("id", "url")).alias("_best"), F.count("*").alias("_n")).where("_n > 1")
+    large = large.select(*same, F.col("_best.id").alias("_rep"), F.col("_best.url").alias("_url"))
     # A table, as only a side that comes straight from its exchange lets a hot payload's rows be split.
     joined = pages.join(materialise(large, "repeated-payloads"), same, "left")
     # Null ids come before all others, and rows that share the largest id are responses, each of them.
-    return joined.withColumn("refers_to", F.when(F.col("id").isNull() | (F.col("id") < F.col("_rep")), F.col("_rep"))).withColumn("revisit", F.col("_rep").isNotNull() & ~F.col("id").eqNullSafe(F.col("_rep"))).drop("_rep", "_check")
+    other = F.col("id").isNull() | (F.col("id") < F.col("_rep"))
+    marked = joined.withColumns({"refers_to": F.when(other, F.col("_rep")), "refers_url": F.when(other, F.col("_url")), "revisit": F.col("_rep").isNotNull() & ~F.col("id").eqNullSafe(F.col("_rep"))})
+    return marked.drop("_rep", "_url", "_check")
 
 
 def _header(*lines: Column) -> Column:
@@ -87,7 +90,7 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     pages = pages.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long"), "_check": F.xxhash64("payload")})
     marked = mark_revisits(pages, min_revisit_bytes)
     block = F.when(F.col("revisit"), _bytes(HTTP_HEAD)).otherwise(F.concat(_bytes(HTTP_HEAD), chunked(F.col("payload"))))
-    named = marked.select("id", "url", "digest", "size", "refers_to", "revisit", F.expr("uuid()").alias("name"), block.alias("block"))
+    named = marked.select("id", "url", "digest", "size", "refers_to", "refers_url", "revisit", F.expr("uuid()").alias("name"), block.alias("block"))
     count = F.greatest(F.lit(1), F.ceil(F.octet_length("block") / F.lit(segment_bytes))).cast("int")
     cut = named.withColumn("segments", count).withColumn("segment", F.explode(F.sequence(F.lit(1), F.col("segments"))))
     many, first, last = F.col("segments") > 1, F.col("segment") == 1, F.col("segment") == F.col("segments")
@@ -106,6 +109,8 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
         _line("Content-Type", only(first, F.lit("application/http;msgtype=response"))),
         _line("WARC-Payload-Digest", only(first, F.concat(F.lit("sha1:"), F.col("digest")))),
         _line("WARC-Profile", only(F.col("revisit"), F.lit(PROFILE))),
+        _line("WARC-Refers-To-Target-URI", only(F.col("revisit"), F.col("refers_url"))),
+        _line("WARC-Refers-To-Date", only(F.col("revisit"), F.lit(DATE))),
         _line("WARC-Segment-Number", only(many, F.col("segment"))),
         _line("WARC-Segment-Origin-ID", only(~first, origin)),
         _line("WARC-Segment-Total-Length", only(many & last, F.octet_length("block"))),
@@ -225,8 +230,9 @@ def reassemble(records: DataFrame) -> DataFrame:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives under ``path``, segments put together, with its decoded ``payload``; a revisit,
-    which stores none, has null."""
-    parts = reassemble(read_records(spark, path))
+    which stores none, has null. Archives are parsed once, into a table of whole records and segments."""
+    records = materialise(read_records(spark, path, decode=True), "records")
+    parts = reassemble(records)
     schema = T.StructType([*(f for f in parts.schema if f.name != "block"), T.StructField("payload", T.BinaryType())])
 
     def decode(batches):
@@ -234,7 +240,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             got = [http_payload(x.as_py()) for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.binary())], names=schema.names)
 
-    whole = read_records(spark, path, decode=True).where(F.col("segment").isNull())
+    whole = records.where(F.col("segment").isNull())
     return whole.select(*_KEPT, "payload").unionByName(parts.mapInArrow(decode, schema))
 
 
