@@ -34,6 +34,21 @@ def test_encoder_gives_the_librarys_ids(texts):
         assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
+def test_encoder_on_a_million_strings():
+    # Latin text takes another way than the library's own; a million short strings of what can meet in it agree.
+    library, encoder, rng = Tokenizer.from_file(BYTES), packing.Encoder(BYTES), np.random.default_rng(7)
+    letters = [*"etaoin shrdlu", *"ETAOIN", *"0123456789", *" \t\n\r\x0b\x0c\x1c\x85\xa0", *".,;:!?'\"()-_/&<>|@#", *"éèüßñçøåžšćđłőÆŒªº²½µ", *"‘’“”–—…‰€⁄", *"'s't're've'm'll'd"]
+    words = [" the", "ing ", "<|endoftext|>", "\r\n", "  ", "don't", "I'LL", "http://", "1999", "naïve"]
+    parts = np.array(letters + words, dtype=object)
+    assert all(map(packing._FAMILIAR.fullmatch, parts))
+    for _ in range(20):
+        picked, size = rng.integers(0, len(parts), 600_000), rng.integers(0, 24, 50_000)
+        ends = np.cumsum(size) % 600_000
+        texts = ["".join(parts[picked[max(0, e - n) : e]]) for e, n in zip(ends.tolist(), size.tolist())]
+        wanted = library.encode_batch_fast(texts, add_special_tokens=False)
+        assert all(a.tolist() == b.ids for a, b in zip(encoder.encode(texts), wanted))
+
+
 def test_token_counts_query(spark):
     sf = "/root/testdata/sf0.01"
     library = Tokenizer.from_file(WORDS)
