@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import materialise
 
 #: Cells in each of the three rows of a fingerprint.
 WIDTH = 16
@@ -210,38 +210,28 @@ def compare_versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Sets that differ by more digests in number than there are cells can't be decoded.
     fits = lambda b: F.abs(F.size("own") - F.size(b)) <= 3 * WIDTH
     based = based.withColumns({f"base_{k}": F.when(fits(b), decoded(F.col("own_cells"), F.col(f"{b}_cells"))) for k, b in enumerate(("new", "other"))})
-    failed = F.col("base_0").isNull() | F.col("base_1").isNull()
     sets = materialise(based.withColumn("n_other", F.size("other")).withColumn("other", F.when(F.col("base_1").isNull(), F.col("other"))).drop("own_cells", "new_cells", "other_cells"), "paragraph-digests")
     key, keep = ["bucket", "at"], ["bucket", "at", "pair"]
+    failed = F.col("base_0").isNull() | F.col("base_1").isNull()
     pair = lambda k, b: F.when(F.col(f"base_{k}").isNull(), F.struct(F.lit(k).alias("pair"), F.col("own").alias("a"), F.col(b).alias("b")))
     of = lambda name, k: F.max(F.when(F.col("pair") == k, F.col(name))).alias(f"{name}_{k}")
-
-    def measured(left: DataFrame, attempt: int) -> DataFrame:
-        # Digests are dealt out by row once; cells and peeling stay where their row is. As many parts as keep what a
-        # task aggregates, however large the table is.
-        pairs = left.select(*key, F.inline(F.array_compact(F.array(pair(0, "new"), pair(1, "other")))))
-        cells = 3 * (pairs.agg(F.sum(F.size("a") + F.size("b"))).first()[0] or 0)
-        parts = max(1, -(-cells // CELLS_AT_ONCE))
-        return differing(pairs.repartition(parts, *key), keep, attempt).groupBy(*key).agg(*(of(name, k) for name in ("differing", "failed") for k in (0, 1)))
-
-    left, tried = sets.where(failed), []
-    bad = F.coalesce(F.col("failed_0"), F.lit(False)) | F.coalesce(F.col("failed_1"), F.lit(False))
+    # Pairs of equal sets have no row; they differ in nothing.
+    found = lambda k: F.coalesce(f"base_{k}", F.when(~F.coalesce(f"failed_{k}", F.lit(False)), F.coalesce(f"differing_{k}", F.lit(0)).cast("int")))
+    done, left = sets.where(~failed), sets.where(failed)
     for attempt in range(ATTEMPTS):
-        tried.append(materialise(measured(left, attempt), "differences"))
-        again = tried[-1].where(bad)
-        if again.isEmpty():
+        # Digests are dealt out by row; cells and peeling stay where their row is. As many parts as keep what a task
+        # aggregates, however large the table is.
+        cells = left.select(F.inline(F.array_compact(F.array(pair(0, "new"), pair(1, "other"))))).agg(F.sum(F.size("a") + F.size("b"))).first()[0]
+        if not cells:
             break
-        left = sets.join(again.select(*key), key, "left_semi")
+        dealt = left.repartition(-(-3 * cells // CELLS_AT_ONCE), *key)
+        pairs = dealt.select(*key, F.inline(F.array_compact(F.array(pair(0, "new"), pair(1, "other")))))
+        measured = differing(pairs, keep, attempt).groupBy(*key).agg(*(of(name, k) for name in ("differing", "failed") for k in (0, 1)))
+        tried = materialise(dealt.join(measured, key, "left").withColumns({f"base_{k}": found(k) for k in (0, 1)}).select(sets.columns), "paragraph-digests")
+        done, left = done.unionByName(tried.where(~failed)), tried.where(failed)
     else:
-        raise ValueError(f"some sketches can't be decoded after {ATTEMPTS} attempts")
-    known = tried[0].where(~bad)
-    for more in tried[1:]:
-        known = known.unionByName(more.where(~bad))
-    known = materialise(known.select(*key, "differing_0", "differing_1"), "differences-found")
-    discard(*tried)
-    none = F.lit(None).cast("long")
-    # Pairs of equal sets have no row; they differ in nothing.
-    done = sets.where(~failed).select("*", none.alias("differing_0"), none.alias("differing_1")).unionByName(sets.where(failed).join(known, key, "left"))
-    near = lambda k, size: likeness(F.size("own"), size, F.coalesce(F.col(f"base_{k}"), F.col(f"differing_{k}"), F.lit(0)))
+        if not left.isEmpty():
+            raise ValueError(f"some sketches can't be decoded after {ATTEMPTS} attempts")
+    near = lambda k, size: likeness(F.size("own"), size, F.col(f"base_{k}"))
     shown = sketched(done, {"own": "own_cells", "new": "new_cells"})
     return shown.select("doc_id", "n_chars", F.lower(F.hex("edited")).alias("edited"), fingerprint(F.col("own_cells"), F.size("own")).alias("fingerprint"), fingerprint(F.col("new_cells"), F.size("new")).alias("edited_fingerprint"), near(0, F.size("new")).alias("near_edited"), near(1, F.col("n_other")).alias("near_next"))
