@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainlake.operators import matrix
 from grainlake.operators.components import connected_components
-from grainlake.sources.shared import materialise
+from grainlake.sources.shared import discard, materialise
 
 
 def from_edges(edges: DataFrame, src: str = "src", dst: str = "dst", loops: float = 1.0) -> DataFrame:
@@ -30,21 +30,29 @@ def step(m: DataFrame, inflation: float = 2.0, prune: float = 1e-5) -> DataFrame
 
 def power(m: DataFrame, n: int) -> DataFrame:
     """The n-th power, by squaring."""
-    out = None
+    out, square, made = None, m, []
+
+    def product(a: DataFrame, b: DataFrame) -> DataFrame:
+        made.append(materialise(matrix.multiply(a, b), "power"))
+        return made[-1]
+
     while n:
         if n & 1:
-            out = m if out is None else materialise(matrix.multiply(out, m), "power")
+            out = square if out is None else product(out, square)
         n >>= 1
-        m = materialise(matrix.multiply(m, m), "power") if n else m
+        square = product(square, square) if n else square
+    discard(*(t for t in made if t is not out))
     return out
 
 
 def markov_cluster(edges: DataFrame, inflation: float = 2.0, prune: float = 1e-5, tolerance: float = 1e-6, max_rounds: int = 100) -> DataFrame:
-    """``id, cluster``: the smallest id of each node's cluster. Expansion is 2; every round ends in a table."""
+    """``id, cluster``: the smallest id of each node's cluster. Expansion is 2; every round ends in a table, and the
+    table before it goes."""
     m = materialise(normalise(from_edges(edges)), "markov")
     for _ in range(max_rounds):
         after = materialise(step(m, inflation, prune), "markov")
         moved = matrix.combine(after, m, -1).agg(F.max(F.abs("val"))).first()[0]
+        discard(m)
         m = after
         if (moved or 0.0) <= tolerance:
             break

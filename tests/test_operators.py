@@ -246,6 +246,9 @@ def test_clusters(spark):
     got = {r.id: r.cluster for r in clustering.markov_cluster(spark.createDataFrame(cliques, "src long, dst long")).collect()}
     assert got == {k + j: k for k in (0, 10, 20) for j in range(5)}
     m = matrix.from_list(spark, (2, 2), [1, 1, 1, 0])
+    table = shared.materialise(m, "caller")
+    assert {(r.i, r.j): r.val for r in clustering.power(table, 11).collect()} == {(0, 0): 144, (0, 1): 89, (1, 0): 89, (1, 1): 55}
+    assert table.count() == 3 + 1  # what the caller made stays
     assert {(r.i, r.j): r.val for r in clustering.power(m, 10).collect()} == {(0, 0): 89, (0, 1): 55, (1, 0): 55, (1, 1): 34}
 
 
