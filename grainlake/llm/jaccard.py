@@ -34,7 +34,7 @@ BITS, LEAF, FANOUT = 2048, 16, 8
 #: Shingles that a block of a family holds, about (eight bytes each); larger families are cut into blocks.
 BLOCK_SHINGLES = 12_000_000
 #: Keys of parts that are sorted where texts are read, and that one task sorts after they are dealt out, about.
-PACK_KEYS, BUCKET_KEYS = 2_000_000, 8_000_000
+PACK_KEYS, BUCKET_KEYS = 1_500_000, 4_000_000
 #: Bits of a key that count: so few of different keys are equal by chance, and then only a family is larger.
 KEY_BITS = 48
 #: Smallest sizes of successive size classes are about this far apart.
@@ -50,7 +50,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of hashed word n-grams: A-Z in lower case, words between spaces and U+0009 to U+000D, sorted 64-bit hashes."""
 
-    def __init__(self, words: int, remember: int = 1_000_000):
+    def __init__(self, words: int, remember: int = 400_000):
         self.words, self.remember, self.known = words, remember, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
