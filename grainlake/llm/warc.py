@@ -230,9 +230,9 @@ def reassemble(records: DataFrame) -> DataFrame:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives under ``path``, segments put together, with its decoded ``payload``; a revisit,
-    which stores none, has null. Archives are parsed once, into a table of whole records and segments."""
-    records = materialise(read_records(spark, path, decode=True), "records")
-    parts = reassemble(records)
+    which stores none, has null. Archives are parsed for segments and for whole records, as that takes less than to
+    write and read what one pass parses."""
+    parts = reassemble(read_records(spark, path))
     schema = T.StructType([*(f for f in parts.schema if f.name != "block"), T.StructField("payload", T.BinaryType())])
 
     def decode(batches):
@@ -240,7 +240,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             got = [http_payload(x.as_py()) for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.binary())], names=schema.names)
 
-    whole = records.where(F.col("segment").isNull())
+    whole = read_records(spark, path, decode=True).where(F.col("segment").isNull())
     return whole.select(*_KEPT, "payload").unionByName(parts.mapInArrow(decode, schema))
 
 
