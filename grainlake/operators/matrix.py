@@ -148,5 +148,11 @@ def _lines(a: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def pretty(a: DataFrame) -> DataFrame:
-    """``i, text``: rows with three decimals in scientific notation."""
-    return rows(a).select("i", F.array_join(F.transform("vals", lambda v: F.format_string("%3.3e", v)), " ").alias("text"))
+    """``i, text``: rows with three decimals in scientific notation, as C's printf rounds: by the exact value, ties to the
+    even digit, where Java's formatter, and so ``format_string``, rounds ties up. Nulls are left out, and rows of nothing
+    else are null."""
+
+    def text(vals):
+        return " ".join(f"{v:.3e}" for v in vals if v is not None) or None
+
+    return rows(a).select("i", F.udf(text, "string")("vals").alias("text"))

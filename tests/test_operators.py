@@ -165,6 +165,10 @@ def test_matrices(spark):
     assert (dense(matrix.combine(a, matrix.transpose(b), -1), (2, 3)) == na - nb.T).all()
     assert [r.vals for r in matrix.columns(a).orderBy("j").collect()] == na.T.tolist() and [r.vals for r in matrix.rows(a).orderBy("i").collect()] == na.tolist()
     assert matrix.pretty(matrix.identity(spark, 2)).orderBy("i").first().text == "1.000e+00 0.000e+00"
+    # Ties go to the even digit, and by the exact value: 2.0005 lies above it, 1.0005 below.
+    odd = [12345.0, 12355.0, -12345.0, 1.0005, 2.0005, float("inf"), float("nan"), None]
+    cells = spark.createDataFrame([(0, j, v) for j, v in enumerate(odd)] + [(1, 0, None)], "i int, j int, val double")
+    assert [r.text for r in matrix.pretty(cells).orderBy("i").collect()] == ["1.234e+04 1.236e+04 -1.234e+04 1.000e+00 2.001e+00 inf nan", None]
     assert dense(matrix.apply(matrix.zeros(spark, (2, 2)), lambda v: v + 1), (2, 2)).sum() == 4
     for wrong in (lambda: matrix.combine(a, b, 1, ((2, 3), (3, 2))), lambda: matrix.multiply(a, a, ((2, 3), (2, 3))), lambda: matrix.from_list(spark, (2, 2), [1]), lambda: matrix.diagonal(a, (2, 3))):
         with pytest.raises(ValueError):
