@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _same(a: Column, b: Column, out: Column) -> Column:
-    return F.when(F.size(a) == F.size(b), out).otherwise(F.raise_error(F.lit("vectors of different lengths")).cast("array<double>"))
+    """``out`` of vectors of one length, null where one is null, else an error."""
+    return F.when(a.isNull() | b.isNull() | (F.size(a) == F.size(b)), out).otherwise(F.raise_error(F.lit("vectors of different lengths")).cast("array<double>"))
 
 
 def add(a: Column, b: Column) -> Column:

@@ -418,10 +418,12 @@ def matrix_identity(spark, sf_dir):
     " SELECT vec_id, list_dot_product(v, list_reverse(v)) AS dot, list_sum(list_transform(v, lambda x: 3 * x + 1)) AS scaled FROM e"
 )
 def vector_ops(spark, sf_dir):
-    v = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 100)).alias("v"))
+    # As in SQL, the product is a 32-bit number, too: what is half there may lie beside it in 64 bits.
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * F.lit(100).cast("float")).cast("double")).alias("v"))
     ones = F.transform("v", lambda x: F.lit(1.0))
     moved = vectors.add(vectors.scale(F.col("v"), 3.0), ones)
-    return v.select("vec_id", vectors.dot(F.col("v"), F.reverse("v")).alias("dot"), vectors.dot(moved, ones).alias("scaled"))
+    # A sum of nothing is null, a product of nothing 0.
+    return v.select("vec_id", vectors.dot(F.col("v"), F.reverse("v")).alias("dot"), F.when(F.size("v") > 0, vectors.dot(moved, ones)).alias("scaled"))
 
 
 @query("SELECT o_orderkey, least(len(list_filter(a, lambda v: v < o_custkey)), len(a) - 1)::INT AS found FROM (SELECT o_orderkey, o_custkey, list_transform(range(0, (o_orderkey % 50 + 1)::BIGINT), lambda k: k * 37) AS a FROM orders)")

@@ -52,6 +52,17 @@ def test_query(spark, con, name):
     assert rows(got.columns, [list(r) for r in got.collect()]) == rows(names, found.fetchall())
 
 
+def test_vectors_at_half_and_empty(spark, tmp_path):
+    """Halves of 32-bit products, empty vectors and missing ones."""
+    vectors = [(1, [0.035, 0.005, -0.045]), (2, []), (3, None), (4, [float("inf"), 1.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["vector_ops"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = con.execute(ORACLE_SQL["vector_ops"])
+    assert rows(got.columns, [list(r) for r in got.collect()]) == rows([d[0] for d in found.description], found.fetchall())
+
+
 def test_queries_without_sql_have_rows(spark):
     for name in QUERIES.keys() - ORACLE_SQL.keys():
         assert QUERIES[name](spark, SF).count() > 0
