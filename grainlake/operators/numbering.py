@@ -22,4 +22,21 @@ def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = totals.select("_part", before.alias("_before"))
     joined = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")  # one row a partition
-    return joined.withColumn(name, F.col("_before") + row).drop("_at", "_part", "_before")
+    out = joined.withColumn(name, F.col("_before") + row).drop("_at", "_part", "_before")
+    out._made = [placed]
+    return out
+
+
+def numbered_within(df: DataFrame, name: str, by: list[str], *order: Column | str) -> DataFrame:
+    """``df`` with ``name``, 0 to n-1 within each group ``by`` in the order given; groups may be of any size.
+
+    All rows are numbered group by group, and a group's numbers are less the first of them. ``_made`` of what is returned
+    are the tables that it reads.
+    """
+    every = numbered(df, "_number", *by, *order)
+    first = every.groupBy(*(F.col(c).alias(f"_of{k}") for k, c in enumerate(by))).agg(F.min("_number").alias("_first"))
+    first = materialise(first, "firsts")  # as a table it has a known size, so it is broadcast where it is small
+    same = [F.col(c).eqNullSafe(F.col(f"_of{k}")) for k, c in enumerate(by)]
+    out = every.join(first, same).withColumn(name, F.col("_number") - F.col("_first")).drop("_number", "_first", *(f"_of{k}" for k in range(len(by))))
+    out._made = [*every._made, first]
+    return out

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import xml.etree.ElementTree as ET
 from collections import Counter
 
@@ -307,6 +308,21 @@ def test_new_elements_of_a_graph(spark):
     assert graphtables.get_both(level, graphtables.ids(level)).count() == 1 and graphtables.get_links(level, graphtables.ids(level)).count() == 2
 
 
+def test_many_rows_of_one_id(spark):
+    """Free numbers as if rows were inserted one after another, in a time that doesn't grow with rows times taken numbers."""
+    r = random.Random(3)
+    taken = sorted({0, *r.sample(range(1, 90_000), 40_000)})
+    face = lambda alter: F.struct(F.lit(2).cast("long").alias("hi"), F.lit(1).cast("long").alias("lo"), alter.alias("alter"))
+    known = spark.createDataFrame([(k,) for k in taken], "n int").select(face(F.when(F.col("n") > 0, F.col("n") + 2)).alias("id"))
+    level = graphtables.new_elements(known.withColumn("prop", F.lit("x")))
+    rows = spark.range(100_000).select(face(F.lit(None).cast("int")).alias("id"), F.lit("y").alias("prop"), (-F.col("id")).alias("seq"))
+    before = time.monotonic()
+    got = [n.alter for n in graphtables.unique_ids(level, rows, "face").orderBy("seq").select("id.alter").collect()]
+    assert time.monotonic() - before < 60
+    used, free = set(taken), itertools.count()
+    assert got == [n + 2 for n in itertools.islice((n for n in free if n not in used), 100_000)]
+
+
 def test_edges_of_matrices(spark):
     with pytest.raises(Exception, match="outside"):
         matrix.at(matrix.identity(spark, 2), spark.createDataFrame([(2, 0)], "i int, j int"), (2, 2)).collect()
